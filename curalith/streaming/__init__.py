@@ -1,0 +1,4 @@
+"""Deliberately empty: every run of this library is a batch run over stored data.
+
+The surveyed engine has no stream source, watermark or state, so none is added here.
+"""
