@@ -27,7 +27,9 @@ def fold_case(df: DataFrame, case: str = "keep") -> DataFrame:
     fold = F.lower if case == "lower" else F.upper
     return df.select(
         *[
-            fold(column(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else column(f.name)
+            fold(column(f.name)).alias(f.name)
+            if isinstance(f.dataType, T.StringType) and not f.name.startswith("__")
+            else column(f.name)
             for f in df.schema.fields
         ]
     )
