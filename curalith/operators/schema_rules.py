@@ -7,15 +7,16 @@ the array column ``violations``; valid rows hold an empty one.
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curalith.functions.cells import BIG_INTEGER, EMPTY, FLOAT, LONG, TEXT, cell_class
+from curalith.functions.cells import BIG_INTEGER, EMPTY, FLOAT, FLOAT_TEXT, LONG, TEXT, cell_class
 from curalith.operators.keys import FIRST, mark_duplicates
 from curalith.operators.project import column
 
@@ -56,38 +57,76 @@ def has_type(value: Column, of_type: T.DataType, declared: str, cells: str = "ty
     return value.isNull() | F.lit(_kind(of_type) in accepted)
 
 
+def _evaluates(spark: SparkSession, schema: T.StructType, expression: str) -> str | None:
+    """Why Spark rejects a condition over columns of these types; None when it does not."""
+    try:
+        spark.createDataFrame([], schema).select(F.expr(expression).cast("boolean")).schema
+    except (AnalysisException, ParseException) as problem:
+        return str(problem)
+    return None
+
+
+def _read_texts_as_numbers(df: DataFrame, expression: str) -> str:
+    """The condition with those text columns read as numbers that it uses as numbers.
+
+    Left alone, a word in such a column is an error in each row that holds one. A column
+    is used as a number if the condition suits a double in its place, but not a boolean,
+    which texts can be compared with.
+    """
+
+    def retyped(name: str, of_type: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(f.name, of_type if f.name == name else f.dataType) for f in df.schema.fields])
+
+    spark = df.sparkSession
+    for field in df.schema.fields:
+        named = re.compile(rf"(?<![\w.`]){re.escape(field.name)}(?![\w.`(])")
+        if not isinstance(field.dataType, T.StringType) or not named.search(expression):
+            continue
+        if _evaluates(spark, retyped(field.name, T.BooleanType()), expression) is None:
+            continue
+        if _evaluates(spark, retyped(field.name, T.DoubleType()), expression) is not None:
+            continue
+        # The pattern comes first: a failing try_cast is far slower than a failing match.
+        number = f"CASE WHEN rlike({field.name}, r'{FLOAT_TEXT}') THEN try_cast({field.name} AS double) END"
+        outside_quotes = re.split(r"('[^']*')", expression)
+        outside_quotes[::2] = [named.sub(lambda _: f"({number})", part) for part in outside_quotes[::2]]
+        expression = "".join(outside_quotes)
+    return expression
+
+
 def holds(df: DataFrame, expression: str, null_scope: str = "row") -> Column:
     """Whether a SQL condition holds for a row.
 
     A row with a null in any column passes (``null_scope="row"``); with ``"referenced"``
     only a condition that itself comes out null passes. What cannot be evaluated passes
     too: a text Spark rejects with a warning, an error in a row (a word compared with a
-    number, say) silently.
+    number, a division by zero) silently.
     """
-    try:
-        truth = df.select(F.expr(expression).cast("boolean")).schema
-    except (AnalysisException, ParseException) as problem:
+    if null_scope not in ("row", "referenced"):
+        raise ValueError(f"null_scope must be row or referenced, not {null_scope!r}")
+    problem = _evaluates(df.sparkSession, df.schema, expression)
+    if problem is not None:
         warnings.warn(f"check {expression!r} cannot be evaluated and passes: {problem}", stacklevel=2)
         return F.lit(True)
-    del truth
+    safe = _read_texts_as_numbers(df, expression)
     # try_to_binary turns an error raised below it into null, which is what lets a failing
     # evaluation pass under ANSI mode.
-    outcome = F.expr(f"try_to_binary(cast(cast(({expression}) as boolean) as string), 'utf-8')")
+    outcome = F.expr(f"try_to_binary(cast(cast(({safe}) as boolean) as string), 'utf-8')")
     passed = F.coalesce(outcome.cast("string") != "false", F.lit(True))
     if null_scope == "referenced":
         return passed
-    if null_scope != "row":
-        raise ValueError(f"null_scope must be row or referenced, not {null_scope!r}")
     any_null = F.lit(False)
     for name in df.columns:
         any_null = any_null | column(name).isNull()
     return any_null | passed
 
 
+_ENTRIES = "array<struct<field:string,rule:string,detail:string>>"
+
+
 def _violation(broken: Column, field: str, rule: str, detail: str) -> Column:
-    return F.when(
-        broken, F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.lit(detail).alias("detail"))
-    )
+    entry = F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.lit(detail).alias("detail"))
+    return F.when(broken, F.array(entry)).otherwise(F.array().cast(_ENTRIES))
 
 
 def find_violations(
@@ -123,10 +162,7 @@ def find_violations(
         found.append(_violation(F.col(FIRST).isNotNull(), ",".join(keys), "primary_key", "duplicate"))
     else:
         marked = df
-    if not found:
-        empty = F.array().cast("array<struct<field:string,rule:string,detail:string>>")
-        return marked.withColumn(VIOLATIONS, empty)
-    return marked.withColumn(VIOLATIONS, F.array_compact(F.array(*found))).drop(FIRST)
+    return marked.withColumn(VIOLATIONS, F.concat(F.array().cast(_ENTRIES), *found)).drop(FIRST)
 
 
 def split_valid(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:

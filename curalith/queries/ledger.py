@@ -236,7 +236,8 @@ def publish_classify(spark, sf_dir) -> DataFrame:
 
 def _lineage_runs(spark, sf_dir) -> DataFrame:
     """Orders as retrievals of their customer's projection and of one named after their
-    priority, which no run made; customers as projections of their nation's curation."""
+    priority, which no run made; customers as projections of their nation's curation, which
+    is lost for one segment."""
 
     def ids(prefix: str, *keys: str):
         return F.array(*[F.concat(F.lit(p), F.col(k).cast("string")) for p, k in zip(prefix.split(), keys)])
@@ -246,9 +247,11 @@ def _lineage_runs(spark, sf_dir) -> DataFrame:
 
     none = F.lit(None).cast("array<string>")
     orders, customers, nations = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    origin = F.when(F.col("c_mktsegment") == "BUILDING", "lost").otherwise(F.col("c_nationkey").cast("string"))
+    customers = customers.withColumn("origin", origin)
     return (
         runs(orders, "retrieval", F.concat(F.lit("ret-"), F.col("o_orderkey").cast("string")), ids("sem- sem-", "o_custkey", "o_orderpriority"), none)
-        .unionByName(runs(customers, "semantics", F.concat(F.lit("sem-"), F.col("c_custkey").cast("string")), ids("cur-", "c_nationkey"), none))
+        .unionByName(runs(customers, "semantics", F.concat(F.lit("sem-"), F.col("c_custkey").cast("string")), ids("cur-", "origin"), none))
         .unionByName(
             runs(nations, "curation", F.concat(F.lit("cur-"), F.col("n_nationkey").cast("string")), none, F.array(F.concat(F.lit("doc-"), "n_name")))
         )
@@ -256,11 +259,13 @@ def _lineage_runs(spark, sf_dir) -> DataFrame:
 
 
 HOPS_SQL = """WITH o AS (SELECT 'ret-' || o_orderkey AS root_run, o_custkey, o_orderpriority FROM orders),
-      c AS (SELECT o.*, c_custkey IS NOT NULL AS known, c_nationkey, n_name FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
+      c AS (SELECT o.*, c_custkey IS NOT NULL AS known, CASE WHEN c_mktsegment = 'BUILDING' THEN 'lost' ELSE c_nationkey::VARCHAR END AS origin,
+        c_mktsegment <> 'BUILDING' AND n_name IS NOT NULL AS sourced
+        FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
     SELECT root_run, 0::INTEGER AS hop, 0::INTEGER AS parent_no, root_run AS run_id, true AS found FROM o
     UNION ALL SELECT root_run, 1, 0, 'sem-' || o_custkey, known FROM c
     UNION ALL SELECT root_run, 1, 1, 'sem-' || o_orderpriority, false FROM o
-    UNION ALL SELECT root_run, 2, 0, 'cur-' || c_nationkey, n_name IS NOT NULL FROM c WHERE known"""
+    UNION ALL SELECT root_run, 2, 0, 'cur-' || origin, sourced FROM c WHERE known"""
 
 
 @query(HOPS_SQL)
@@ -269,7 +274,8 @@ def lineage_trace(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT 'sem-' || c_custkey AS root_run, 'cur-' || c_nationkey AS curation_run, n_name IS NOT NULL AS curation_found
+    """SELECT 'sem-' || c_custkey AS root_run, CASE WHEN c_mktsegment = 'BUILDING' THEN 'cur-lost' ELSE 'cur-' || c_nationkey END AS curation_run,
+      c_mktsegment <> 'BUILDING' AND n_name IS NOT NULL AS curation_found
     FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
 )
 def lineage_semantic(spark, sf_dir) -> DataFrame:
@@ -278,7 +284,7 @@ def lineage_semantic(spark, sf_dir) -> DataFrame:
 
 @query(
     """SELECT DISTINCT 'ret-' || o_orderkey AS root_run, 'doc-' || n_name AS doc_id
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'"""
 )
 def lineage_documents(spark, sf_dir) -> DataFrame:
     return lineage.source_documents(lineage.trace(_lineage_runs(spark, sf_dir)))
@@ -286,7 +292,7 @@ def lineage_documents(spark, sf_dir) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+    JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING'"""
 )
 def traceability_filter(spark, sf_dir) -> DataFrame:
     """Lines whose order can be traced over at least half of its hops."""

@@ -149,9 +149,9 @@ LINE_SCHEMA = {
 
 JUDGED_SQL = """
   SELECT *, list_filter([
+      CASE WHEN received IS NOT NULL AND NOT l_quantity * l_extendedprice < 4000000 THEN 'l_quantity:check' END,
       CASE WHEN l_discount IS NOT NULL THEN 'l_discount:type' END,
       CASE WHEN received IS NULL THEN 'received:nullable' END,
-      CASE WHEN received IS NOT NULL AND NOT l_quantity * l_extendedprice < 4000000 THEN 'l_quantity:check' END,
       CASE WHEN nth > 1 THEN 'l_orderkey,l_linenumber:primary_key' END
     ], lambda x: x IS NOT NULL) AS rules
   FROM (SELECT *, CASE WHEN l_returnflag = 'N' AND l_tax = 0 THEN NULL ELSE l_returnflag || l_linestatus END AS received,
@@ -170,13 +170,18 @@ def _judged(spark, sf_dir, schema=LINE_SCHEMA) -> DataFrame:
     return schema_rules.find_violations(_lines(spark, sf_dir), schema, order_by=LINE_ORDER)
 
 
-def _rules(violations: str = "violations"):
-    return F.transform(violations, lambda v: F.concat_ws(":", v["field"], v["rule"]))
+def _told() -> list:
+    """Fields and rules of the violations, in the order of the schema."""
+    return [F.array_join("violations.field", ";").alias("fields"), F.array_join("violations.rule", ";").alias("rules")]
+
+
+TOLD_SQL = """array_to_string(list_transform(rules, lambda x: string_split(x, ':')[1]), ';') AS fields,
+      array_to_string(list_transform(rules, lambda x: string_split(x, ':')[2]), ';') AS rules"""
 
 
 @query(
     f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, len(rules)::BIGINT AS n_violations,
-      array_to_string(list_sort(rules), ';') AS rules FROM ({JUDGED_SQL})"""
+      {TOLD_SQL} FROM ({JUDGED_SQL})"""
 )
 def schema_violations(spark, sf_dir) -> DataFrame:
     return _judged(spark, sf_dir).select(
@@ -185,7 +190,7 @@ def schema_violations(spark, sf_dir) -> DataFrame:
         "l_partkey",
         "l_suppkey",
         F.size("violations").cast("bigint").alias("n_violations"),
-        F.array_join(F.array_sort(_rules()), ";").alias("rules"),
+        *_told(),
     )
 
 
@@ -203,7 +208,7 @@ def valid_rows(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_sort(rules), ';') AS rules
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {TOLD_SQL}
     FROM ({SPLIT_SQL}) WHERE len(rules) > 0"""
 )
 def quarantined_rows(spark, sf_dir) -> DataFrame:
@@ -213,7 +218,7 @@ def quarantined_rows(spark, sf_dir) -> DataFrame:
         "record.l_linenumber",
         "record.l_partkey",
         "record.l_suppkey",
-        F.array_join(F.array_sort(_rules()), ";").alias("rules"),
+        *_told(),
     )
 
 
