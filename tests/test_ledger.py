@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from conftest import rows
+from curalith.operators import fingerprint, ledger, lineage, versions
+
+
+def at(minute: int) -> dt.datetime:
+    return dt.datetime(2024, 1, 1, 0, minute)
+
+
+EVENTS = [
+    ("r1", at(0), 1, "QUEUED", "s", None),
+    ("r1", at(1), 2, "STARTED", None, "d1"),
+    ("r1", at(1), 3, "SUCCESS", None, None),
+    ("r2", at(5), 1, "QUEUED", "s", None),
+    ("r2", at(2), 0, "STARTED", "early", None),
+]
+
+
+def test_fold_does_not_depend_on_event_order(spark):
+    schema = "run_id string, ts timestamp, seq int, status string, spec_id string, doc_id string"
+    want = [("r1", "SUCCESS", "s", "d1", at(0), at(1)), ("r2", "QUEUED", "s", None, at(2), at(5))]
+    for seed in range(3):
+        shuffled = random.Random(seed).sample(EVENTS, len(EVENTS))
+        assert rows(ledger.fold_runs(spark.createDataFrame(shuffled, schema).repartition(3))) == want
+    times = ledger.status_times(spark.createDataFrame(EVENTS, schema))
+    assert rows(times.select("run_id", "queued_at", "started_at", "success_at", "failure_at")) == [
+        ("r1", at(0), at(1), at(1), None), ("r2", at(5), at(2), None, None),
+    ]
+
+
+RUNS = [
+    ("a", "census", "1.0", "SUCCESS", "curation", None, at(3)),
+    ("b", "census", "1.0", "SUCCESS", "curation", True, at(1)),
+    ("c", "census", "1.0", "FAILURE", "curation", False, at(0)),
+    ("d", "census", "1.0", "SUCCESS", "curation", False, at(2)),
+    ("e", "census_map", "1.0", "SUCCESS", "semantics", None, at(9)),
+    ("f", "other", "2.0", "SUCCESS", "semantic", None, at(9)),
+    (None, "deploy", "1.0", "SUCCESS", "curation", None, at(30)),
+]
+
+
+def test_finding_runs(spark):
+    runs = spark.createDataFrame(
+        RUNS, "run_id string, spec_id string, spec_version string, status string, layer string, replay_mode boolean, created_at timestamp"
+    )
+    first = {r.spec_id: r.run_id for r in ledger.first_success(runs.where("run_id is not null")).collect()}
+    assert first == {"census": "d", "census_map": "e", "other": "f"}
+    assert {r.run_id for r in ledger.matching_runs(runs, contains="census").collect()} == set("abcde")
+    assert {r.run_id for r in ledger.matching_runs(runs, layer="semantics").collect()} == {"e", "f"}
+    assert [r.run_id for r in ledger.recent_runs(runs.where("run_id is not null"), 3).collect()] == ["e", "f", "a"]
+    assert ledger.latest_evidence(runs, "curation").head().run_id == "a"
+    assert ledger.latest_evidence(runs, "retrieval").count() == 0
+    newest = ledger.latest_per_key(runs.select("spec_id", "created_at", "run_id"), ["spec_id"], ["created_at", "run_id"])
+    assert newest.columns == ["spec_id", "created_at", "run_id"]
+    assert {r.spec_id: r.run_id for r in newest.collect()} == {"census": "a", "census_map": "e", "other": "f", "deploy": None}
+
+
+def test_lineage(spark):
+    data = [
+        ("ret", "retrieval", ["s1", "s2", "lost"], ["d1"]),
+        ("alone", "retrieval", None, None),
+        ("s1", "semantic", ["c1"], ["d1"]),
+        ("s2", "semantics", ["gone"], None),
+        ("c1", "curation", None, ["d1", "d9"]),
+    ]
+    runs = spark.createDataFrame(data, "run_id string, layer string, parents array<string>, doc_ids array<string>")
+    paths = lineage.trace(runs)
+    assert rows(lineage.hops(paths)) == [
+        ("alone", 0, 0, "alone", True),
+        ("ret", 0, 0, "ret", True),
+        ("ret", 1, 0, "s1", True),
+        ("ret", 1, 1, "s2", True),
+        ("ret", 1, 2, "lost", False),
+        ("ret", 2, 0, "c1", True),
+        ("ret", 2, 1, "gone", False),
+    ]
+    assert rows(lineage.source_documents(paths)) == [("ret", "d1"), ("ret", "d9")]
+    assert rows(lineage.traceability(paths)) == [("alone", 0.0), ("ret", 0.5)]
+    answers = spark.createDataFrame([("ret", 1), ("alone", 2), ("ret", 3)], "run_id string, n int")
+    assert rows(lineage.with_min_traceability(answers, paths, 0.5)) == [("ret", 1), ("ret", 3)]
+    semantic = lineage.trace(runs, "semantic").select("root_run", "curation_run", "curation_found")
+    assert rows(semantic) == [("s1", "c1", True), ("s2", "gone", False)]
+    assert rows(lineage.source_documents(lineage.trace(runs, "curation"))) == [("c1", "d1"), ("c1", "d9")]
+
+
+def test_versions(spark):
+    deployed = spark.createDataFrame(
+        [("x", v, h, at(i)) for i, (v, h) in enumerate([("1.2.1", "a"), ("1.10.0", "b"), ("1.3.0", "c"), ("1.10", "d"), ("2.0.0-beta", "e")])]
+        + [("y", "1.0", "a", at(0))],
+        "spec_id string, version string, content_hash string, deployed_at timestamp",
+    )
+    order = versions.version_order(deployed.unionByName(deployed)).where("spec_id = 'x'")
+    assert [r.version for r in order.orderBy("position").collect()] == ["1.2.1", "1.3.0", "1.10", "1.10.0", "2.0.0-beta"]
+    assert rows(versions.version_summary(deployed)) == [("x", "2.0.0-beta", 5), ("y", "1.0", 1)]
+    before = {r.version: r.previous_version for r in versions.previous_versions(deployed).where("spec_id = 'x'").collect()}
+    assert before == {"1.2.1": None, "1.10.0": "1.2.1", "1.3.0": "1.10.0", "1.10": "1.10.0", "2.0.0-beta": "1.10.0"}
+
+    candidates = spark.createDataFrame(
+        [("x", "1.2.1", "a"), ("x", "1.2.1", "z"), ("x", "1.9.0", "n"), ("x", "3.0", "n"), ("new", "0.1", "n")],
+        "spec_id string, version string, content_hash string",
+    )
+    got = versions.classify_publish(candidates, deployed).select("spec_id", "version", "status", "previous_version", "is_latest")
+    assert rows(got) == [
+        ("new", "0.1", "DEPLOYED", None, True),
+        ("x", "1.2.1", "SKIPPED", None, False),
+        ("x", "1.2.1", "VIOLATION", None, False),
+        ("x", "1.9.0", "DEPLOYED", "2.0.0-beta", False),
+        ("x", "3.0", "DEPLOYED", "2.0.0-beta", True),
+    ]
+    assert versions.classify_publish(candidates, deployed, force=True).where("status = 'DEPLOYED'").count() == 4
+    history = ledger.deployment_history(deployed, "x", "1.3.0")
+    assert history.count() == 1
+
+
+def test_fingerprints(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("1:a", None)], "s string, n int")
+    whole = lambda d: rows(fingerprint.dataset_fingerprint(d))
+    same = whole(df)
+    assert whole(df.repartition(7)) == same
+    assert whole(df.orderBy(F.col("n").desc())) == same
+    assert whole(df.select("n", "s")) == same  # columns are taken by name
+    assert whole(df.dropDuplicates()) != same  # copies count
+    assert whole(df.select(F.col("s").alias("n"), F.col("n").alias("s"))) != same
+    close = spark.createDataFrame([("1:a|~", "b"), ("1:a", "|~b"), ("~", None), (None, "~"), ("", None)], "a string, b string")
+    assert fingerprint.row_fingerprints(close).select("row_sha256").distinct().count() == 5
+    grouped = fingerprint.dataset_fingerprint(df, ["n"], by=["s"])
+    assert {r.s: r.record_count for r in grouped.collect()} == {"a": 2, None: 1, "1:a": 1}
+    assert rows(fingerprint.dataset_fingerprint(df.limit(0)))[0][0] == 0

@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from curalith.operators import enrich, governance, project
+from curalith.sources import output
+
+
+@pytest.fixture
+def df(spark):
+    return spark.createDataFrame([("Ab", 1, "Cd"), (None, 2, "eF")], "a string, n int, b string")
+
+
+def test_fold_case(df):
+    assert rows(project.fold_case(df, "upper")) == [("AB", 1, "CD"), (None, 2, "EF")]
+    assert project.fold_case(df, "keep") is df
+    with pytest.raises(ValueError, match="case"):
+        project.fold_case(df, "title")
+
+
+def test_rename_lands_collisions_on_the_later_value(df):
+    got = project.rename_fields(df, {"a": "b", "zzz": "y"})
+    assert got.columns == ["b", "n"] and rows(got) == [("Cd", 1), ("eF", 2)]
+    two = project.rename_fields(df, {"a": "x", "b": "x"})
+    assert two.columns == ["x", "n"] and rows(two) == [("Cd", 1), ("eF", 2)]
+    assert project.rename_fields(df, {}) is df
+    assert project.rename_fields(df, None) is df
+
+
+def test_concepts(df):
+    mapping = [
+        {"source_key": "a", "target_concept": "name"},
+        {"source_key": "gone", "target_concept": "x"},
+        {"source_key": "b"},
+        {"target_concept": "y"},
+        {"source_key": "n", "target_concept": "double", "transformation": "n * 2"},
+    ]
+    got = project.to_concepts(df, mapping, {"unit": "count", "currency": None, "scale": 1})
+    assert got.columns == ["name", "double", "_raw_b", "__context__"]
+    first = got.where("double = 2").head()
+    assert (first.name, first._raw_b, first.__getitem__("__context__").asDict()) == (
+        "Ab", "Cd", {"unit": "count", "currency": None, "scale": 1},
+    )
+    assert project.to_concepts(df, [], {}).columns == ["_raw_a", "_raw_n", "_raw_b", "__context__"]
+
+
+def test_output_fields_and_identity(df):
+    assert project.output_fields(df, [], ["n"]).columns == ["a", "b"]
+    assert project.output_fields(df, ["b", "a"], ["a"]).columns == ["b"]
+    wide = project.attach_envelope(df, doc_id="d", run_id="r", engine=None)
+    assert project.identity_first(wide).columns == ["run_id", "doc_id", "a", "n", "b", "engine"]
+    assert project.prefix_side(df.withColumn("__x", F.lit(1)), "p_").columns == ["p_a", "p_n", "p_b"]
+
+
+def test_governance(df):
+    hashed = governance.protect_fields(df, ["a"])
+    assert hashed.where("n = 2").head().a is None
+    assert len(hashed.where("n = 1").head().a) == 64
+    assert governance.protect_fields(df, ["a"], "drop").columns == ["n", "b"]
+
+
+def test_output_formats(df, tmp_path):
+    nested = df.select("n", F.struct("a", "b").alias("s"), F.array("b").alias("l"))
+    flat = output.flatten(nested)
+    assert flat.columns == ["n", "s.a", "s.b", "l"]
+    documents = sorted(r[0] for r in output.jsonld_rows(df, {"@vocab": "urn:x"}).collect())
+    assert documents[1] == '{"@context":{"@vocab":"urn:x"},"a":null,"n":2,"b":"eF"}'
+    for kind in output.FORMATS:
+        output.write_output(nested, str(tmp_path / kind), kind, {"@vocab": "urn:x"})
+    back = df.sparkSession.read.csv(str(tmp_path / "flat_csv"), header=True)
+    assert back.columns == ["n", "s.a", "s.b", "l"] and back.count() == 2
+    assert df.sparkSession.read.parquet(str(tmp_path / "parquet")).count() == 2
+    assert df.sparkSession.read.json(str(tmp_path / "json")).count() == 2
+    with pytest.raises(ValueError, match="output format"):
+        output.write_output(df, str(tmp_path / "x"), "xml")
+
+
+CODES = [("Texas", "TX", 0), ("Utah", "", 1), ("UTAH", "UT", 2), ("Ohio", "O1", 3), ("ohio", "O2", 4), ("Ohio", "O3", 5), ("1", "ONE", 6), ("Iowa", None, 7)]
+FOUND = {
+    "Texas": "TX", "tExas": "TX", "Utah": "UT", "UTAH": "UT", "Ohio": "O3", "OHIO": "O3", "ohio": "O2",
+    "Iowa": None, "Guam": None, "": None, None: None, "1": "ONE",
+}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_enrichment_tiers(spark, broadcast, request, stored):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    dim = stored(spark.createDataFrame(CODES, "name string, code string, position int"))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([*FOUND, "Texas", None])], "state string, i int")
+    got = enrich.enrich(df, dim, "state", "code", order="position")
+    assert got.columns == ["state", "i", "code"]
+    assert got.count() == df.count()
+    assert {r.state: r.code for r in got.collect()} == FOUND
+    assert rows(enrich.enrichment_stats(got, "state", "code")) == [(9, 14, 2)]
+    assert rows(enrich.unmapped_values(got, "state", "code")) == [("Guam", 1), ("Iowa", 1)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_enrichment_of_other_sources(spark, broadcast, request, stored):
+    if not broadcast:
+        request.getfixturevalue("no_broadcast")
+    dim = stored(spark.createDataFrame([("", "EMPTY"), ("1", "ONE")], "name string, code string"))
+    numbers = spark.createDataFrame([(1,), (0,), (None,)], "n int")
+    assert rows(enrich.enrich(numbers, dim, "n", "c")) == [(0, "EMPTY"), (1, "ONE"), (None, "EMPTY")]
+    absent = enrich.enrich(numbers, dim, "state", "n")  # no such source; the target is replaced
+    assert absent.columns == ["n"] and {r.n for r in absent.collect()} == {"EMPTY"}
+
+
+def test_enrichment_plan_is_two_broadcasts(spark, stored):
+    t = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    dim = stored(spark.createDataFrame(CODES, "name string, code string, position int"))
+    plan = enrich.enrich(t, dim, "o_orderpriority", "x", order="position")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    probe = plan[: plan.index("BroadcastExchange")]
+    assert "hashpartitioning" not in probe  # the rows themselves do not move
