@@ -11,7 +11,7 @@ WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 DIGITS = r"[0-9]+(?:_[0-9]+)*"
 INTEGER_TEXT = rf"^[+-]?{DIGITS}$"
 FLOAT_TEXT = rf"^[+-]?(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?$"
-SPECIAL_FLOAT_TEXT = r"^(?i)[+-]?(?:inf|infinity|nan)$"
+NUMBER_TEXT = rf"^(?:{FLOAT_TEXT[1:-1]}|[+-]?(?i:inf|infinity|nan))$"
 
 #: Cell classes, in the order in which a column of mixed cells widens.
 EMPTY, LONG, BIG_INTEGER, FLOAT, TEXT = range(5)
@@ -60,8 +60,7 @@ def as_number(value: Column, of_type: T.DataType) -> Column:
     """A double for anything that reads as a number, else null. Booleans count as 0 and 1."""
     if isinstance(of_type, T.StringType):
         text = strip(value)
-        readable = text.rlike(FLOAT_TEXT) | text.rlike(SPECIAL_FLOAT_TEXT)
-        return F.when(readable, _plain(text).try_cast("double"))
+        return F.when(text.rlike(NUMBER_TEXT), _plain(text).try_cast("double"))
     if isinstance(of_type, (T.NumericType, T.BooleanType)):
         return value.cast("double")
     return F.lit(None).cast("double")

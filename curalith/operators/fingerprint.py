@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalith.functions.digest import lane_sums, row_digest, seal
+from curalith.functions.digest import chunks, lane_sums, row_digest, seal
 from curalith.operators.project import column
 
 
@@ -24,7 +24,6 @@ def dataset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by:
     table nor a large group ever meets in one task.
     """
     digested = df.select(*[column(c) for c in by], row_digest(columns or df.columns).alias("__digest"))
-    sums = digested.groupBy(*[column(c) for c in by]).agg(
-        F.count(F.lit(1)).alias("record_count"), *lane_sums(F.col("__digest"))
-    )
+    numbered = digested.withColumns(chunks(F.col("__digest")))
+    sums = numbered.groupBy(*[column(c) for c in by]).agg(F.count(F.lit(1)).alias("record_count"), *lane_sums())
     return sums.select(*[column(c) for c in by], "record_count", seal(F.col("record_count")).alias("content_hash"))

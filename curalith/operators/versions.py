@@ -21,9 +21,8 @@ def _rank() -> Column:
 def version_order(deployed: DataFrame) -> DataFrame:
     """Every version of each spec once, with its position: ``1.2.1`` comes before ``1.10.0``."""
     versions = deployed.select("spec_id", "version").distinct().withColumn("__key", version_key(F.col("version")))
-    major = F.coalesce(F.get("__key", F.lit(0)), F.lit(-1).cast("decimal(38,0)"))
     return sequence_numbers(
-        versions, order_by=["__key", "version"], partition_by=["spec_id"], bucket=major, name="position"
+        versions, order_by=["__key", "version"], partition_by=["spec_id"], bucket=F.slice("__key", 1, 2), name="position"
     ).drop("__key")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalith.functions.digest import lane_sums, seal
+from curalith.functions.digest import chunks, lane_sums, seal
 
 #: Files up to this size are hashed whole; a task holds one of them at a time.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
@@ -32,8 +32,9 @@ def file_hashes(
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
         .where(F.col("size") > whole_file_bytes)
         .select("path", F.sha2("value", 256).alias("digest"))
+        .withColumns(chunks(F.col("digest")))
         .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("n"), *lane_sums(F.col("digest")))
+        .agg(F.count(F.lit(1)).alias("n"), *lane_sums())
         .select("path", F.concat(F.lit("lines-"), seal(F.col("n"))).alias("content_hash"))
     )
     return small.unionByName(large.join(lines, "path", "left"))
