@@ -34,28 +34,38 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("_"), F.lit(""))
 
 
-def cell_class(cell: Column) -> Column:
-    """Class of one text cell: with a dot it may be a float, without one an integer."""
-    text = strip(cell)
+def class_of_stripped(text: Column) -> Column:
+    """Class of one stripped text: with a dot it may be a float, without one an integer."""
     whole = text.rlike(INTEGER_TEXT)
     return (
         F.when(text.isNull(), EMPTY)
         .when(F.contains(text, F.lit(".")), F.when(text.rlike(FLOAT_TEXT), FLOAT).otherwise(TEXT))
-        .when(whole & _plain(text).try_cast("bigint").isNotNull(), LONG)
-        .when(whole & _plain(text).try_cast("decimal(38,0)").isNotNull(), BIG_INTEGER)
+        .when(~whole, TEXT)
+        .when(F.length(text) < 19, LONG)
+        .when(_plain(text).try_cast("bigint").isNotNull(), LONG)
+        .when(_plain(text).try_cast("decimal(38,0)").isNotNull(), BIG_INTEGER)
         .otherwise(TEXT)
     )
 
 
-def read_cell(cell: Column, as_type: T.DataType) -> Column:
-    """A stripped text cell as ``as_type``; cells outside the grammar become null."""
-    text = strip(cell)
+def cell_class(cell: Column) -> Column:
+    """Class of one text cell."""
+    return class_of_stripped(strip(cell))
+
+
+def read_stripped(text: Column, as_type: T.DataType) -> Column:
+    """A stripped text as ``as_type``; texts outside the grammar become null."""
     if isinstance(as_type, T.StringType):
         return text
     grammar = INTEGER_TEXT if isinstance(as_type, (T.LongType, T.DecimalType)) else FLOAT_TEXT
     return F.when(text.rlike(grammar), _plain(text).try_cast(as_type))
 
 
+def read_cell(cell: Column, as_type: T.DataType) -> Column:
+    """A text cell, stripped and read as ``as_type``."""
+    return read_stripped(strip(cell), as_type)
+
+
 def as_number(value: Column, of_type: T.DataType) -> Column:
     """A double for anything that reads as a number, else null. Booleans count as 0 and 1."""
     if isinstance(of_type, T.StringType):
