@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curalith.operators.matching import match
 from curalith.operators.project import JOIN, column, prefix_side
 from curalith.session import fits_broadcast
 
@@ -118,10 +119,13 @@ def keyed_join(
     bookkeeping = [*p_keys, *s_keys, "__p_text", "__s_text", "__hit"]
 
     def equal(left: DataFrame, right: DataFrame) -> Column:
-        match = F.lit(True)
+        condition = F.lit(True)
         for a, b in zip(p_keys, s_keys):
-            match = match & (left[a] == right[b])
-        return match
+            condition = condition & (left[a] == right[b])
+        return condition
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return match(*[(left[a], right[b]) for a, b in zip(p_keys, s_keys)])
 
     def with_key(df: DataFrame, names: list[str]) -> DataFrame:
         for name in names:
@@ -147,13 +151,14 @@ def keyed_join(
         return out.withColumn(JOIN, F.when(F.col("__hit"), hit).otherwise(lone_p)).drop(*bookkeeping)
 
     p_set, s_set = with_key(p, p_keys), with_key(s, s_keys)
-    parts = [p_set.join(s_set, equal(p_set, s_set), "inner").withColumn(JOIN, hit)]
+    # Matched in one form throughout, the rows of a side are shuffled once for both joins.
+    parts = [p_set.join(s_set, same(p_set, s_set), "inner").withColumn(JOIN, hit)]
     s_seen = s_set.select(*s_keys).distinct()
-    parts.append(p_set.join(s_seen, equal(p_set, s_seen), "left_anti").withColumn(JOIN, lone_p))
+    parts.append(p_set.join(s_seen, same(p_set, s_seen), "left_anti").withColumn(JOIN, lone_p))
     parts.append(without_key(p, p_keys).withColumn(JOIN, lone_p))
     if join_type == "full_outer":
         p_seen = p_set.select(*p_keys).distinct()
-        parts.append(s_set.join(p_seen, equal(p_seen, s_set), "left_anti").withColumn(JOIN, lone_s))
+        parts.append(s_set.join(p_seen, same(p_seen, s_set), "left_anti").withColumn(JOIN, lone_s))
         parts.append(without_key(s, s_keys).withColumn(JOIN, lone_s))
     out = parts[0].drop(*bookkeeping)
     for part in parts[1:]:

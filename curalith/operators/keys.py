@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curalith.operators.matching import match
 from curalith.operators.project import column
 
 FIRST = "__first"
@@ -30,11 +31,8 @@ def repeated_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
 
 
 def same_key(keys: Sequence[str]) -> Column:
-    """Null-safe match of ``keys`` against :func:`repeated_keys`."""
-    match = F.lit(True)
-    for i, key in enumerate(keys):
-        match = match & column(key).eqNullSafe(F.col(f"__key_{i}"))
-    return match
+    """Match of ``keys`` against :func:`repeated_keys`, in which null parts equal each other."""
+    return match(*[(column(key), F.col(f"__key_{i}")) for i, key in enumerate(keys)])
 
 
 def mark_duplicates(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curalith.operators.matching import match
+
 CONTEXT = "__context__"
 JOIN = "__join__"
 RAW_PREFIX = "_raw_"
@@ -104,9 +106,9 @@ def inherit_parent(df: DataFrame, parents: DataFrame, new_doc_id: str) -> DataFr
     ``parents`` holds one row per ``run_id``; where it knows no document the id minted
     for this run, ``new_doc_id``, is used.
     """
-    known = parents.select(F.col("run_id").alias("curation_run_id"), F.col("doc_id").alias("__doc"))
-    joined = df.join(known, "curation_run_id", "left")
-    return joined.withColumn("doc_id", F.coalesce("__doc", F.lit(new_doc_id))).drop("__doc")
+    known = parents.where(F.col("run_id").isNotNull()).select(F.col("run_id").alias("__run"), F.col("doc_id").alias("__doc"))
+    joined = df.join(known, match((F.col("curation_run_id"), F.col("__run"))), "left")
+    return joined.withColumn("doc_id", F.coalesce("__doc", F.lit(new_doc_id))).drop("__run", "__doc")
 
 
 def output_fields(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curalith.functions.text import version_key
+from curalith.operators.matching import match
 from curalith.operators.prefix import prefix_scan, sequence_numbers
 
 
@@ -50,11 +51,12 @@ def classify_publish(candidates: DataFrame, registered: DataFrame, force: bool =
     (deployed all the same with ``force``), and a new version is DEPLOYED. It becomes the
     latest only when it is higher than the current latest.
     """
-    known = registered.groupBy("spec_id", "version").agg(
+    named = registered.where(F.col("spec_id").isNotNull() & F.col("version").isNotNull())
+    known = named.groupBy("spec_id", "version").agg(
         F.max_by("content_hash", "deployed_at").alias("__hash"), F.min("deployed_at").alias("deployed_at")
     )
-    latest = known.groupBy("spec_id").agg(F.max(_rank()).getField("version").alias("__latest"))
-    known = known.select("spec_id", "version", "__hash")
+    latest = known.groupBy(F.col("spec_id").alias("__spec")).agg(F.max(_rank()).getField("version").alias("__latest"))
+    known = known.select(F.col("spec_id").alias("__id"), F.col("version").alias("__version"), "__hash")
     same = F.col("__hash") == F.col("content_hash")
     status = (
         F.when(F.col("__hash").isNull(), "DEPLOYED")
@@ -63,10 +65,10 @@ def classify_publish(candidates: DataFrame, registered: DataFrame, force: bool =
     )
     newer = F.col("__latest").isNull() | (version_key(F.col("version")) > version_key(F.col("__latest")))
     return (
-        candidates.join(known, ["spec_id", "version"], "left")
-        .join(latest, "spec_id", "left")
+        candidates.join(known, match((F.col("spec_id"), F.col("__id")), (F.col("version"), F.col("__version"))), "left")
+        .join(latest, match((F.col("spec_id"), F.col("__spec"))), "left")
         .withColumn("status", status)
         .withColumn("previous_version", F.when(F.col("status") == "DEPLOYED", F.col("__latest")))
         .withColumn("is_latest", (F.col("status") == "DEPLOYED") & newer)
-        .drop("__hash", "__latest")
+        .drop("__id", "__version", "__hash", "__spec", "__latest")
     )
