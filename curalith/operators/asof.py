@@ -28,7 +28,7 @@ def temporal_join(
     tolerance_seconds: float | None = None,
     direction: str = "backward",
     join_type: str = "left_outer",
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int = 3_600,
 ) -> DataFrame:
     """Each primary row with the nearest secondary row of its keys.
 
@@ -38,7 +38,9 @@ def temporal_join(
     ``tie_by`` names a column of both sides that tells rows at one time apart.
 
     Both sides are laid into one ordered stream and the last secondary row is carried
-    along it, so no pairs are formed, and time buckets split a key of any size.
+    along it, so no pairs are formed. Time buckets split a key of any size; what one key
+    holds within ``bucket_seconds`` is the work of one task. Times without a zone are
+    compared in the session's, which should then have no summer time (UTC).
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")

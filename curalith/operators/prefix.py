@@ -1,7 +1,7 @@
 """Running values over ordered groups of any size.
 
 A window over a group runs in one task, however large the group. Here each group is
-cut into buckets that follow its order (days, say, for a time order). A small summary
+cut into buckets that follow its order (hours, say, of a time). A small summary
 with one row per bucket yields what each bucket inherits from those before it; that
 carry enters the bucket as its first row, and one window per (group, bucket) does the
 rest. The rows move once, and a hot group spreads over as many tasks as it has buckets.
@@ -21,11 +21,14 @@ _BUCKET, _VALUE, _ROW = "__bucket", "__value", "__is_row"
 
 
 def default_bucket(df: DataFrame, leading: str) -> Column:
-    """Days of a time, or runs of 2**16 whole numbers. Anything else stays in one bucket;
-    pass a bucket of your own, non-decreasing in the order, where that is too coarse."""
+    """Hours of a time, days, or runs of 2**16 whole numbers. Anything else stays in one
+    bucket. Pass a bucket of your own, non-decreasing in the order, where that is too
+    coarse for the largest group: one bucket of a group is the work of one task."""
     of_type = df.schema[leading].dataType
-    if isinstance(of_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.to_date(column(leading))
+    if isinstance(of_type, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", column(leading))
+    if isinstance(of_type, T.DateType):
+        return column(leading)
     if isinstance(of_type, (T.LongType, T.IntegerType, T.ShortType)):
         return F.shiftright(column(leading), 16)
     return F.lit(0)

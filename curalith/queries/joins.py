@@ -152,7 +152,7 @@ def asof_join(spark, sf_dir) -> DataFrame:
     return _near(
         asof.temporal_join(
             _of_type(spark, sf_dir, "error"), _of_type(spark, sf_dir, "click"),
-            keys=["user_id"], time="ts", tie_by="event_id", tolerance_seconds=86_400, bucket_seconds=3_600,
+            keys=["user_id"], time="ts", tie_by="event_id", tolerance_seconds=86_400,
         )
     )
 

@@ -248,5 +248,4 @@ def pk_duplicates(spark, sf_dir) -> DataFrame:
 @query("SELECT event_id, user_id, (row_number() OVER (ORDER BY ts, event_id) - 1)::BIGINT AS record_index FROM events")
 def record_index(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    hour = F.date_trunc("hour", "ts")
-    return prefix.record_index(events, order_by=["ts", "event_id"], bucket=hour).select("event_id", "user_id", "record_index")
+    return prefix.record_index(events, order_by=["ts", "event_id"]).select("event_id", "user_id", "record_index")

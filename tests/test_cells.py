@@ -75,9 +75,9 @@ def test_checks(spark, of_type, check, params, good, bad):
 
 
 def test_path_and_log_functions(spark):
-    paths = ["wild/bls/a.csv", "census/b.tar.gz", "wild//c", "", "wild/x"]
+    paths = ["wild/jobs/a.csv", "people/b.tar.gz", "wild//c", "", "wild/x"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
-    assert [r[0] for r in df.select(text.agency_of(F.col("p"))).collect()] == ["bls", "census", "unknown", "unknown", "x"]
+    assert [r[0] for r in df.select(text.agency_of(F.col("p"))).collect()] == ["jobs", "people", "unknown", "unknown", "x"]
     assert [r[0] for r in df.select(text.stem(F.col("p"))).collect()] == ["a", "b.tar", "c", "", "x"]
     logs = spark.createDataFrame([("DONE: a.csv -> raw-1",), ("nothing",), ("DONE: a.csv",)], "m string")
     assert [tuple(r) for r in logs.select(text.copied_from(F.col("m")), text.copied_to(F.col("m"))).collect()] == [

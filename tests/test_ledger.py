@@ -35,11 +35,11 @@ def test_fold_does_not_depend_on_event_order(spark):
 
 
 RUNS = [
-    ("a", "census", "1.0", "SUCCESS", "curation", None, at(3)),
-    ("b", "census", "1.0", "SUCCESS", "curation", True, at(1)),
-    ("c", "census", "1.0", "FAILURE", "curation", False, at(0)),
-    ("d", "census", "1.0", "SUCCESS", "curation", False, at(2)),
-    ("e", "census_map", "1.0", "SUCCESS", "semantics", None, at(9)),
+    ("a", "people", "1.0", "SUCCESS", "curation", None, at(3)),
+    ("b", "people", "1.0", "SUCCESS", "curation", True, at(1)),
+    ("c", "people", "1.0", "FAILURE", "curation", False, at(0)),
+    ("d", "people", "1.0", "SUCCESS", "curation", False, at(2)),
+    ("e", "people_map", "1.0", "SUCCESS", "semantics", None, at(9)),
     ("f", "other", "2.0", "SUCCESS", "semantic", None, at(9)),
     (None, "deploy", "1.0", "SUCCESS", "curation", None, at(30)),
 ]
@@ -50,15 +50,15 @@ def test_finding_runs(spark):
         RUNS, "run_id string, spec_id string, spec_version string, status string, layer string, replay_mode boolean, created_at timestamp"
     )
     first = {r.spec_id: r.run_id for r in ledger.first_success(runs.where("run_id is not null")).collect()}
-    assert first == {"census": "d", "census_map": "e", "other": "f"}
-    assert {r.run_id for r in ledger.matching_runs(runs, contains="census").collect()} == set("abcde")
+    assert first == {"people": "d", "people_map": "e", "other": "f"}
+    assert {r.run_id for r in ledger.matching_runs(runs, contains="people").collect()} == set("abcde")
     assert {r.run_id for r in ledger.matching_runs(runs, layer="semantics").collect()} == {"e", "f"}
     assert [r.run_id for r in ledger.recent_runs(runs.where("run_id is not null"), 3).collect()] == ["e", "f", "a"]
     assert ledger.latest_evidence(runs, "curation").head().run_id == "a"
     assert ledger.latest_evidence(runs, "retrieval").count() == 0
     newest = ledger.latest_per_key(runs.select("spec_id", "created_at", "run_id"), ["spec_id"], ["created_at", "run_id"])
     assert newest.columns == ["spec_id", "created_at", "run_id"]
-    assert {r.spec_id: r.run_id for r in newest.collect()} == {"census": "a", "census_map": "e", "other": "f", "deploy": None}
+    assert {r.spec_id: r.run_id for r in newest.collect()} == {"people": "a", "people_map": "e", "other": "f", "deploy": None}
 
 
 def test_lineage(spark):
