@@ -77,8 +77,9 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     """
     texts = batch.column(column).to_pylist()
     first, held, size = 0, [], 0
+    none = b"" if pa.types.is_binary(batch.schema.field(column).type) else ""
     for i, text in enumerate(texts):
-        text = text or ""
+        text = text or none
         if held and size + len(text) > limit:
             yield first, held
             first, held, size = i, [], 0
