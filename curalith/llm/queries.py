@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import decontaminate, packing, token_files
+from curalith.llm import decontaminate, jaccard, packing, token_files
 from curalith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,21 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 @query("op7_decontaminate", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), size=10)
+
+
+#: Sets of shingles, every pair that shares one, and the closure of the links.
+_OP6_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+      FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS node, doc_id AS at FROM w UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.at)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.at)::BIGINT AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
+@query("op6_jaccard_join", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.grouped(read_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
