@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import decontaminate, jaccard, packing, token_files
+from curalith.llm import decontaminate, jaccard, merkle, packing, token_files
 from curalith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.at)::BIGINT AS component_id FR
 @query("op6_jaccard_join", _OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.grouped(read_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+@query("op3_merkle_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compared(read_table(spark, sf_dir, "documents"))

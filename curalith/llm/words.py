@@ -80,6 +80,14 @@ class Words:
         return out
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range; equal bytes have equal hashes wherever they lie."""
+    up, down = _POWERS.to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def split_words(texts: list[bytes | None], in_word: np.ndarray) -> Words:
     """Words are the longest runs of bytes of the class, after folding A-Z; null has none.
 
@@ -90,9 +98,6 @@ def split_words(texts: list[bytes | None], in_word: np.ndarray) -> Words:
     inside[1:-1] = in_word[data]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    up, down = _POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = byte_hashes(data, starts, ends)
     bounds = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
     return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds))
