@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import decontaminate, jaccard, merkle, packing, token_files
+from curalith.llm import decontaminate, jaccard, langid, merkle, packing, quality, token_files
 from curalith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_merkle_fingerprints")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compared(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read_table(spark, sf_dir, "documents"))
