@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curalith.llm import decontaminate, jaccard, langid, merkle, packing, quality, token_files
+from curalith.llm import decontaminate, jaccard, langid, merkle, packing, pii, quality, sharding, token_files, warc
 from curalith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,28 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_pii_spans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+@query("op8_warc", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@query("op9_hilbert_shards")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(read_table(spark, sf_dir, "documents"), dims=["lang", "source", "size"], n=16)
