@@ -61,6 +61,20 @@ def range_of(column: str, points: np.ndarray) -> Column:
     return place(F.col(column).cast("long"))
 
 
+def set_aside(docs: DataFrame, reserved) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of reserved names renamed, and what selects all columns under their own names."""
+    taken, used = {}, {c.lower() for c in docs.columns} | {r.lower() for r in reserved}
+    for c in docs.columns:
+        if c.lower() in {r.lower() for r in reserved}:
+            new = f"_{c}"
+            while new.lower() in used:
+                new = f"_{new}"
+            taken[c] = new
+            used.add(new.lower())
+    back = [F.col(taken.get(c, c)).alias(c) for c in docs.columns]
+    return docs.withColumnsRenamed(taken), back
+
+
 def partitions_for(spark: SparkSession) -> int:
     """How many pieces a full shuffle is dealt into: Spark's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

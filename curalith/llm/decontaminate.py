@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalith.llm.common import text_chunks
+from curalith.llm.common import set_aside, text_chunks
 from curalith.llm.words import Words, byte_class, split_words
 
 #: Words are runs of ASCII letters, digits and all bytes of non-ASCII characters.
@@ -223,5 +223,5 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The documents without any hit, unchanged."""
-    columns = docs.columns
-    return marked(docs, items, size).where(F.size("_hits") == 0).select(*columns)
+    own, columns = set_aside(docs, [*ADDED, "_text"])
+    return marked(own, items, size).where(F.size("_hits") == 0).select(*columns)
