@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curalith.operators.matching import match
 from curalith.operators.project import column
-from curalith.session import fits_broadcast
 
 
 def _is_set(value: Column, of_type: T.DataType) -> Column:
@@ -21,10 +21,34 @@ def _is_set(value: Column, of_type: T.DataType) -> Column:
     return value.isNotNull()
 
 
-def _tier(dim: DataFrame, key: Column, code: str, order: str | None, names: tuple[str, str]) -> DataFrame:
-    """One row per key; of several entries the last by ``order`` holds."""
-    last = F.max_by(column(code), column(order)) if order else F.max(column(code))
-    return dim.groupBy(key.alias(names[0])).agg(last.cast("string").alias(names[1])).where(F.col(names[0]).isNotNull())
+def _is_unset_text(name: Column, of_type: T.DataType) -> Column:
+    """Whether a text is that of a value which is not set, such as the empty text or zero."""
+    if isinstance(of_type, T.BooleanType):
+        return name.isin("", "false")
+    if isinstance(of_type, T.NumericType):
+        return (name == "") | F.coalesce(name.try_cast("double") == 0, F.lit(False))
+    return name == ""
+
+
+def _dimension(dim: DataFrame, name: Column, code: Column, order: Column | None, of_type: T.DataType) -> DataFrame:
+    """One row per folded name: the codes of its spellings, and the code of any spelling.
+
+    Of several entries the last by ``order`` holds. Values that are not set share the
+    folded name of the empty text.
+    """
+    entries = dim.select(name.alias("n"), code.cast("string").alias("c"), (order if order is not None else code).alias("o"))
+    entries = entries.where(F.col("n").isNotNull())
+    spelled = entries.groupBy("n").agg(F.max_by("c", "o").alias("c"), F.max("o").alias("o"))
+    folded = F.when(_is_unset_text(F.col("n"), of_type), F.lit("")).otherwise(F.lower("n"))
+    here = F.lower("n") == F.col("__name")
+    return (
+        spelled.withColumn("__name", folded)
+        .groupBy("__name")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("n", "c"))).alias("__spellings"),
+            F.max_by("c", F.when(here, F.col("o"))).alias("__any"),
+        )
+    )
 
 
 def enrich(
@@ -39,46 +63,21 @@ def enrich(
 ) -> DataFrame:
     """Add ``target``: the code of the value in ``source``; null where there is none.
 
-    The row count never changes. Where the reference data is small, both tiers are joined
-    to the rows directly and Spark broadcasts them. Otherwise the distinct source values
-    are resolved first, so the rows move once however many of them share one value.
+    The row count never changes. Both tiers are in one row of the dimension, so the rows
+    are joined once: Spark broadcasts a small dimension, and splits the rows of a hot value
+    where it is not small.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     of_type = fields.get(source, T.StringType())
     value = column(source) if source in fields else F.lit(None).cast("string")
     text = value.cast("string")
     folded = F.when(_is_set(value, of_type), F.lower(text)).otherwise("")
-
-    exact = _tier(dim, column(name), code, order, ("__exact", "__exact_code"))
-    anycase = _tier(dim, F.lower(column(name)), code, order, ("__anycase", "__anycase_code"))
-    resolved = F.coalesce(F.nullif("__exact_code", F.lit("")), F.nullif("__anycase_code", F.lit("")))
-
-    keyed = df.withColumns({"__text": text, "__folded": folded})
-    if fits_broadcast(dim):
-        hit = keyed.join(exact, F.col("__text") == F.col("__exact"), "left").join(
-            anycase, F.col("__folded") == F.col("__anycase"), "left"
-        )
-        return hit.withColumn(target, resolved).drop(
-            "__text", "__folded", "__exact", "__exact_code", "__anycase", "__anycase_code"
-        )
-
-    values = keyed.select("__text", "__folded").distinct()
-    codes = (
-        values.join(exact, F.col("__text") == F.col("__exact"), "left")
-        .join(anycase, F.col("__folded") == F.col("__anycase"), "left")
-        .select(
-            F.coalesce("__text", F.lit("")).alias("__key"),
-            F.col("__text").isNull().alias("__null"),
-            resolved.alias("__code"),
-        )
-        .where(F.col("__code").isNotNull())
-    )
-    marked = keyed.withColumns({"__key": F.coalesce("__text", F.lit("")), "__null": F.col("__text").isNull()})
-    return (
-        marked.join(codes, ["__key", "__null"], "left")
-        .withColumn(target, F.col("__code"))
-        .drop("__key", "__null", "__code", "__text", "__folded")
-    )
+    known = _dimension(dim, column(name), column(code), column(order) if order else None, of_type)
+    exact = F.when(text.isNotNull(), F.try_element_at("__spellings", text))
+    resolved = F.coalesce(F.nullif(exact, F.lit("")), F.nullif("__any", F.lit("")))
+    keyed = df.withColumn("__folded", folded)
+    hit = keyed.join(known, match((F.col("__folded"), F.col("__name"))), "left")
+    return hit.withColumn(target, resolved).drop("__folded", "__name", "__spellings", "__any")
 
 
 def enrichment_stats(df: DataFrame, source: str, target: str) -> DataFrame:

@@ -13,7 +13,7 @@ from curalith.operators.project import column
 
 def row_fingerprints(df: DataFrame, columns: Sequence[str] | None = None, name: str = "row_sha256") -> DataFrame:
     """Every row with the SHA-256 of its values."""
-    return df.withColumn(name, row_digest(columns or df.columns))
+    return df.withColumn(name, row_digest(df, columns))
 
 
 def dataset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -23,7 +23,7 @@ def dataset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by:
     Row digests are summed lane by lane, which combines map-side, so neither a large
     table nor a large group ever meets in one task.
     """
-    digested = df.select(*[column(c) for c in by], row_digest(columns or df.columns).alias("__digest"))
+    digested = df.select(*[column(c) for c in by], row_digest(df, columns).alias("__digest"))
     numbered = digested.withColumns(chunks(F.col("__digest")))
     sums = numbered.groupBy(*[column(c) for c in by]).agg(F.count(F.lit(1)).alias("record_count"), *lane_sums())
     return sums.select(*[column(c) for c in by], "record_count", seal(F.col("record_count")).alias("content_hash"))

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from curalith.operators.matching import match
 from curalith.operators.project import JOIN, column, prefix_side
-from curalith.session import fits_broadcast
 
 PRIMARY, SECONDARY = "primary_", "secondary_"
 JOIN_TYPES = ("inner", "left_outer", "full_outer", "full_outer_compat")
@@ -90,10 +89,10 @@ def keyed_join(
     source the rows pass through unprefixed. ``full_outer_compat`` keeps unmatched rows of
     the primary side only.
 
-    Where the secondary side is small the outer join is a single one and Spark broadcasts
-    it. Where it is not, the outer rows are found apart: an inner join, whose hot
-    keys the adaptive skew join may split on either side, and an anti join against the
-    distinct keys of the other side. Rows without a key skip both.
+    An outer join can be split on its outer side only. So the rows of one are found apart: an
+    inner join, whose hot keys the adaptive skew join splits on either side, and an anti
+    join against the distinct keys of the other side, which keeps rows without a key. This
+    is the plan at every size; Spark broadcasts the parts that are small.
     """
     if secondary is None:
         return primary.withColumn(JOIN, provenance("passthrough", None, None, None, [primary_name]))
@@ -105,7 +104,7 @@ def keyed_join(
 
     def side(df: DataFrame, prefix: str, key_columns: list[Column], mark: str) -> DataFrame:
         kept = [c for c in df.columns if not c.startswith("__")]
-        text = F.concat_ws(",", *[column(k).cast("string") for k in keys])
+        text = F.concat_ws(",", *[F.coalesce(column(k).cast("string"), F.lit("null")) for k in keys])
         return df.select(
             *[column(c).alias(f"{prefix}{c}") for c in kept],
             *[k.alias(f"__{mark}{i}") for i, k in enumerate(key_columns)],
@@ -132,12 +131,6 @@ def keyed_join(
             df = df.where(F.col(name).isNotNull())
         return df
 
-    def without_key(df: DataFrame, names: list[str]) -> DataFrame:
-        missing = F.lit(False)
-        for name in names:
-            missing = missing | F.col(name).isNull()
-        return df.where(missing)
-
     both = [primary_name, secondary_name]
     hit = provenance(join_type, label, F.col("__p_text"), None, both)
     lone_p = provenance(join_type, label, F.col("__p_text"), F.lit(False), [primary_name])
@@ -145,21 +138,14 @@ def keyed_join(
 
     if join_type == "inner":
         return p.join(s, equal(p, s), "inner").withColumn(JOIN, hit).drop(*bookkeeping)
-    if join_type != "full_outer" and fits_broadcast(s):
-        marked = s.withColumn("__hit", F.lit(True))
-        out = p.join(marked, equal(p, marked), "left")
-        return out.withColumn(JOIN, F.when(F.col("__hit"), hit).otherwise(lone_p)).drop(*bookkeeping)
-
     p_set, s_set = with_key(p, p_keys), with_key(s, s_keys)
-    # Matched in one form throughout, the rows of a side are shuffled once for both joins.
     parts = [p_set.join(s_set, same(p_set, s_set), "inner").withColumn(JOIN, hit)]
+    # The distinct keys hold no null, so rows without a key are among the unmatched.
     s_seen = s_set.select(*s_keys).distinct()
-    parts.append(p_set.join(s_seen, same(p_set, s_seen), "left_anti").withColumn(JOIN, lone_p))
-    parts.append(without_key(p, p_keys).withColumn(JOIN, lone_p))
+    parts.append(p.join(s_seen, same(p, s_seen), "left_anti").withColumn(JOIN, lone_p))
     if join_type == "full_outer":
         p_seen = p_set.select(*p_keys).distinct()
-        parts.append(s_set.join(p_seen, same(p_seen, s_set), "left_anti").withColumn(JOIN, lone_s))
-        parts.append(without_key(s, s_keys).withColumn(JOIN, lone_s))
+        parts.append(s.join(p_seen, same(p_seen, s), "left_anti").withColumn(JOIN, lone_s))
     out = parts[0].drop(*bookkeeping)
     for part in parts[1:]:
         out = out.unionByName(part.drop(*bookkeeping), allowMissingColumns=True)

@@ -129,8 +129,9 @@ def holds(df: DataFrame, expression: str, null_scope: str = "row") -> Column:
 _ENTRIES = "array<struct<field:string,rule:string,detail:string>>"
 
 
-def _violation(broken: Column, field: str, rule: str, detail: str) -> Column:
-    entry = F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.lit(detail).alias("detail"))
+def _violation(broken: Column, field: str, rule: str, detail: str | Column) -> Column:
+    detail = F.lit(detail) if isinstance(detail, str) else detail
+    entry = F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"), detail.alias("detail"))
     return F.when(broken, F.array(entry)).otherwise(F.array().cast(_ENTRIES))
 
 

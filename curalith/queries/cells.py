@@ -166,9 +166,40 @@ def group_fingerprints(spark, sf_dir) -> DataFrame:
     return fingerprint.dataset_fingerprint(_orders(spark, sf_dir), by=["o_orderpriority"])
 
 
-@query()
+@query("SELECT n_nationkey, length(n_name) + 1 AS length, 'sha256:' || sha256(n_name || chr(10)) AS content_hash FROM nation")
 def source_file_hashes(spark, sf_dir) -> DataFrame:
-    """SHA-256 of the files of the driver tables; SQL on their rows cannot see the bytes."""
-    hashed = file_hashes(spark, f"{sf_dir}/*.parquet")
-    path: Column = text.base_name(F.col("path"))
-    return hashed.select(path.alias("file"), "length", "content_hash")
+    """SHA-256 of files that hold a nation's name and a line feed each."""
+    path = f"{ensure_checkpoint_dir(spark)}/curalith/{new_id('names')}"
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    hashed = file_hashes(spark, f"{path}/n_nationkey=*/part-*")
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey")
+    return hashed.select(key, "length", "content_hash")
+
+
+@query(
+    f"""SELECT n AS record_count, {SEAL} AS content_hash FROM (
+      SELECT count(*)::BIGINT AS n, {LANE_SUMS} FROM (
+        SELECT sha256(length(k) || ':' || k || '|' || length(t) || ':' || t) AS h FROM (
+          SELECT o_orderkey::VARCHAR AS k,
+            '2|' || coalesce(length(o_orderstatus) || ':' || o_orderstatus, '~') || '|' || length(o_orderpriority) || ':' || o_orderpriority AS t
+          FROM orders)))"""
+)
+def nested_fingerprint(spark, sf_dir) -> DataFrame:
+    """A fingerprint of rows with a list in them."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a_key"), F.array("o_orderstatus", "o_orderpriority").alias("b_list"))
+    return fingerprint.dataset_fingerprint(orders)
+
+
+@query(
+    """SELECT CASE WHEN l_returnflag <> 'A' THEN l_orderkey END::BIGINT AS l_orderkey,
+      CASE WHEN l_returnflag <> 'A' THEN l_linenumber END::BIGINT AS l_linenumber,
+      CASE WHEN l_returnflag <> 'A' THEN l_returnflag END AS l_returnflag,
+      CASE WHEN l_returnflag <> 'A' THEN l_linestatus END AS l_linestatus FROM lineitem"""
+)
+def csv_tab_scan(spark, sf_dir) -> DataFrame:
+    """Lines as tab-separated text; a row of empty cells is a row all the same."""
+    names = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+    shown = [F.when(F.col("l_returnflag") != "A", F.col(c).cast("string")).alias(c) for c in names]
+    path = f"{ensure_checkpoint_dir(spark)}/curalith/{new_id('tab')}"
+    table(spark, sf_dir, "lineitem").select(*shown).write.csv(path, header=True, sep="\t", nullValue="", emptyValue="")
+    return read_typed_csv(spark, path, delimiter="\t")

@@ -26,3 +26,12 @@ def retention_expired(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
     old = governance.expired(orders, 730, dt.datetime(2000, 1, 1), created="o_orderdate")
     return old.select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, sha256(c_name) AS name_hash, c_mktsegment AS segment FROM customer")
+def pii_projected(spark, sf_dir) -> DataFrame:
+    """A personal field inside a struct, protected before its parts become columns."""
+    customer = table(spark, sf_dir, "customer")
+    nested = customer.select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("who"))
+    safe = governance.protect_fields(nested, ["who.name"])
+    return safe.select("c_custkey", F.col("who.name").alias("name_hash"), F.col("who.segment").alias("segment"))

@@ -301,3 +301,22 @@ def traceability_filter(spark, sf_dir) -> DataFrame:
     )
     paths = lineage.trace(_lineage_runs(spark, sf_dir))
     return lineage.with_min_traceability(lines, paths, 0.5).drop("run_id")
+
+
+@query(
+    """SELECT 'sem-' || c_custkey AS root_run, 'doc-' || n_name AS doc_id
+    FROM customer, nation WHERE n_nationkey = c_nationkey OR n_nationkey = (c_nationkey + 1) % 25"""
+)
+def lineage_many_parents(spark, sf_dir) -> DataFrame:
+    """Semantic runs with two curation parents go back to the documents of both."""
+    runs = _lineage_runs(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer")
+    parents = F.array(*[F.concat(F.lit("cur-"), key.cast("string")) for key in (F.col("c_nationkey"), (F.col("c_nationkey") + 1) % 25)])
+    two = customers.select(
+        F.concat(F.lit("sem-"), F.col("c_custkey").cast("string")).alias("run_id"),
+        F.lit("semantic").alias("layer"),
+        parents.alias("parents"),
+        F.array().cast("array<string>").alias("doc_ids"),
+    )
+    curations = runs.where("layer = 'curation'").select(*two.columns)
+    return lineage.source_documents(lineage.trace(curations.unionByName(two), "semantic"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings the operators are designed around. None of them disables a safety net:
 #: ANSI mode stays on, and joins are only broadcast under Spark's own size threshold.
@@ -26,25 +26,19 @@ def build_session(app: str = "curalith", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and tasks run in one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a scratch folder only where none is named."""
+    """The cluster's ``spark.checkpoint.dir``. In local mode, where all tasks share the
+    machine's folders, a scratch folder stands in for it; elsewhere its absence is an error."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="curalith-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate of ``df`` is under the auto-broadcast threshold.
-
-    Reads plan statistics only; no job runs. Callers use it to choose between a plan
-    that needs a small side and one that does not; they never force a broadcast.
-    """
-    try:
-        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except AttributeError:  # a remote session has no plan statistics
-        return False
-    return 0 <= int(str(size)) <= int(limit)

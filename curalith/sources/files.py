@@ -9,32 +9,31 @@ from pyspark.sql import functions as F
 
 from curalith.functions.digest import chunks, lane_sums, seal
 
-#: Files up to this size are hashed whole; a task holds one of them at a time.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+#: A byte hash needs the whole file in one task; a larger file is an error, not another hash.
+MOST_BYTES = 1 << 30
 
 
-def file_hashes(
-    spark: SparkSession, path: str | Sequence[str], *, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | Sequence[str], *, how: str = "bytes", most_bytes: int = MOST_BYTES) -> DataFrame:
     """``path, length, content_hash`` of each file.
 
-    The hash is ``sha256:`` of the bytes. A file beyond ``whole_file_bytes`` would have to
-    pass through one task for that, so it gets ``lines-sha256:`` instead: a fingerprint of
-    its lines, read in splits.
+    ``how="bytes"`` is ``sha256:`` of the bytes, for files of any kind up to ``most_bytes``.
+    ``how="lines"`` is ``lines-sha256:``, a fingerprint of the lines of a text file, which
+    is read in splits at any size. The caller chooses; size changes nothing about a hash.
     """
     files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= whole_file_bytes).select(
-        "path", "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash")
-    )
-    large = files.where(F.col("length") > whole_file_bytes).select("path", "length")
+    if how == "bytes":
+        hashed = F.concat(F.lit("sha256:"), F.sha2("content", 256))
+        refusal = F.concat(F.lit("too large for a byte hash, take how='lines': "), F.col("path"))
+        checked = F.when(F.col("length") <= most_bytes, hashed).otherwise(F.raise_error(refusal))
+        return files.select("path", "length", checked.alias("content_hash"))
+    if how != "lines":
+        raise ValueError(f"how must be bytes or lines, not {how!r}")
     lines = (
         spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
-        .where(F.col("size") > whole_file_bytes)
-        .select("path", F.sha2("value", 256).alias("digest"))
+        .select(F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("digest"))
         .withColumns(chunks(F.col("digest")))
         .groupBy("path")
         .agg(F.count(F.lit(1)).alias("n"), *lane_sums())
-        .select("path", F.concat(F.lit("lines-"), seal(F.col("n"))).alias("content_hash"))
     )
-    return small.unionByName(large.join(lines, "path", "left"))
+    sealed = F.concat(F.lit("lines-"), seal(F.coalesce(F.col("n"), F.lit(0))))
+    return files.select("path", "length").join(lines, "path", "left").select("path", "length", sealed.alias("content_hash"))

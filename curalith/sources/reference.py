@@ -29,11 +29,14 @@ def load_document(spark: SparkSession, path: str) -> dict:
 
 
 def read_reference_data(spark: SparkSession, path: str) -> DataFrame:
-    """``{"mappings": {name: code}}`` as rows ``name, code, position``."""
+    """``{"mappings": {name: code}}`` as rows ``name, code, position``. A document that is no
+    JSON, or has no ``mappings``, is an error; it would read as a table without codes."""
+    refusal = F.raise_error(F.lit(f"no reference data with mappings in {path}")).cast("map<string,string>")
     return (
         spark.read.text(path, wholetext=True)
         .select(F.from_json("value", "mappings map<string,string>").alias("doc"))
-        .select(F.posexplode("doc.mappings").alias("position", "name", "code"))
+        .select(F.coalesce("doc.mappings", refusal).alias("mappings"))
+        .select(F.posexplode("mappings").alias("position", "name", "code"))
         .select("name", "code", "position")
     )
 

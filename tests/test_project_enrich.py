@@ -109,10 +109,10 @@ def test_enrichment_of_other_sources(spark, broadcast, request, stored):
     assert absent.columns == ["n"] and {r.n for r in absent.collect()} == {"EMPTY"}
 
 
-def test_enrichment_plan_is_two_broadcasts(spark, stored):
+def test_enrichment_is_one_broadcast_of_small_codes(spark, stored):
     t = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     dim = stored(spark.createDataFrame(CODES, "name string, code string, position int"))
     plan = enrich.enrich(t, dim, "o_orderpriority", "x", order="position")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
     probe = plan[: plan.index("BroadcastExchange")]
     assert "hashpartitioning" not in probe  # the rows themselves do not move

@@ -105,5 +105,28 @@ def test_quality_rules(spark, tmp_path):
 def test_file_hashes(spark, tmp_path, path):
     want = "sha256:" + hashlib.sha256(TEXT.encode()).hexdigest()
     assert [r.content_hash for r in files.file_hashes(spark, path).collect()] == [want]
-    large = files.file_hashes(spark, path, whole_file_bytes=10).head()
-    assert large.content_hash.startswith("lines-sha256:") and large.length == len(TEXT)
+    lines = files.file_hashes(spark, path, how="lines").head()
+    assert lines.content_hash.startswith("lines-sha256:") and lines.length == len(TEXT)
+    with pytest.raises(Exception, match="too large for a byte hash"):
+        files.file_hashes(spark, path, most_bytes=10).collect()
+
+
+def test_rows_of_empty_cells_and_positions(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\tb\tc\n1\t2\t3\n\t\t\n  \n\n4\t\t6\n")
+    found = csv.read_cells(spark, str(tmp_path / "t.tsv"), delimiter="\t", position=True).collect()
+    assert sorted(((r["a"], r["b"], r["c"]) for r in found), key=repr) == sorted([("1", "2", "3"), (None,) * 3, (None,) * 3, (None,) * 3, ("4", None, "6")], key=repr)
+    assert len({tuple(r[p] for p in csv.POSITION) for r in found}) == 5
+
+
+def test_files_of_unlike_headers_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv.read_cells(spark, str(tmp_path)).collect()
+
+
+def test_unreadable_reference_data_is_refused(spark, tmp_path):
+    for text in ("{broken", '{"codes": {}}'):
+        (tmp_path / "codes.json").write_text(text)
+        with pytest.raises(Exception, match="no reference data"):
+            reference.read_reference_data(spark, str(tmp_path / "codes.json")).collect()
