@@ -21,13 +21,19 @@ def order_value(order_by: Sequence[str]) -> Column:
 def repeated_keys(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Keys held by several rows, with the order value of the first. Null key parts equal
     each other. The count and the minimum combine before the shuffle, so a key that fills
-    a third of the table sends one row per task."""
-    return (
-        df.groupBy(*[column(k).alias(f"__key_{i}") for i, k in enumerate(keys)])
-        .agg(F.min(order_value(order_by)).alias(FIRST), F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > 1)
-        .drop("__rows")
-    )
+    a third of the table sends one row per task.
+
+    The minimum of several columns is that of a struct, for which Spark has to sort; so the
+    keys that repeat are counted first, and only their rows are looked at for it.
+    """
+    names = [f"__key_{i}" for i in range(len(keys))]
+    rows = df.select(*[column(k).alias(n) for k, n in zip(keys, names)], order_value(order_by).alias("__order"))
+    if len(order_by) == 1:
+        counted = rows.groupBy(*names).agg(F.min("__order").alias(FIRST), F.count(F.lit(1)).alias("__rows"))
+        return counted.where(F.col("__rows") > 1).drop("__rows")
+    several = rows.groupBy(*[F.col(n).alias(f"{n}_s") for n in names]).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > 1)
+    again = rows.join(several, match(*[(F.col(n), F.col(f"{n}_s")) for n in names]), "left_semi")
+    return again.groupBy(*names).agg(F.min("__order").alias(FIRST))
 
 
 def same_key(keys: Sequence[str]) -> Column:

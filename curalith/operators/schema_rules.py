@@ -165,7 +165,7 @@ def find_violations(
         if not order_by:
             raise ValueError("a primary key needs order_by: without an order no row is the first")
         marked = mark_duplicates(df, keys, order_by)
-        found.append(_violation(F.col(FIRST).isNotNull(), ",".join(keys), "primary_key", "duplicate"))
+        found.append(_violation(F.col(FIRST).isNotNull(), ",".join(keys), "primary_key", F.concat(F.lit("duplicate of row "), F.col(FIRST).cast("string"))))
     else:
         marked = df
     return marked.withColumn(VIOLATIONS, F.concat(F.array().cast(_ENTRIES), *found)).drop(FIRST)
