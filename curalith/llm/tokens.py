@@ -7,7 +7,11 @@ import os
 import numpy as np
 
 #: A worker forgets its words beyond these sizes, which bounds its memory.
-CACHED_WORDS, CACHED_CHARS = 400_000, 16_000_000
+CACHED_WORDS, CACHED_CHARS = 1_200_000, 20_000_000
+
+
+_STOPS = (".", ",")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
 class _Words(dict):
@@ -36,6 +40,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.folds = ids("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == ids("abcdefghijklmnopqrstuvwxyz")
+        self.stops = {c: ids(c)[0] for c in _STOPS if len(ids(c)) == 1 and ids("a" + c) == ids("a") + ids(c)}
         self.forget()
 
     def forget(self) -> None:
@@ -44,23 +51,51 @@ class WordTokenizer:
         self.starts, self.lengths = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
 
     def _learn(self) -> None:
-        new = self.words.new
+        """Encodes the noted words; "word," becomes "word" and ",", as the tokenizer has them apart."""
+        new, self.words.new = self.words.new, []
         if not new:
             return
+        tailed = [w for w in new if w[-1:] in self.stops and w[-2:-1] in _LETTERS and len(w) > 1]
+        cores = np.fromiter((self.words[w[:-1]] for w in tailed), np.int64, len(tailed))
+        tails = {w[-1] for w in tailed}
+        whole = [w for w in new if not (len(w) > 1 and w[-1] in tails and w[-2] in _LETTERS)] + self.words.new
         self.words.new = []
-        coded = [x.ids for x in self.library.encode_batch(new, add_special_tokens=False)]
-        first, lengths = len(self.words) - len(new), np.fromiter(map(len, coded), np.int64, len(coded))
-        total = int(lengths.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while len(self.words) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.uint32, total)
-        self.lengths[first : first + len(new)] = lengths
-        self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
-        self.chars += sum(map(len, new))
+        for k in range(0, len(whole), 2000):
+            self._add(whole[k : k + 2000], *self._encode_words(whole[k : k + 2000]))
+        if tailed:
+            lengths = self.lengths[cores]
+            ends = np.cumsum(lengths + 1)
+            at = np.repeat(self.starts[cores] - ends + lengths + 1, lengths + 1) + np.arange(int(ends[-1]))
+            at[ends - 1] = 0
+            flat = self.ids[at]
+            flat[ends - 1] = [self.stops[w[-1]] for w in tailed]
+            self._add(tailed, flat, lengths + 1)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, encoded as one text, and how many each has."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(words))
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lengths[numbers] = lengths
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.chars += sum(map(len, words))
+
+    def _words_of(self, text: str) -> list[str]:
+        """Pieces between blanks and line breaks, with A-Z folded as the tokenizer itself does."""
+        if self.folds and "<|" not in text:
+            text = text.encode().lower().decode()
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
@@ -70,7 +105,7 @@ class WordTokenizer:
         firsts = np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             firsts[i] = len(words)
-            words += text.replace("\n", " ").split(" ")
+            words += self._words_of(text)
         numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         self._learn()
         if not len(texts):
@@ -81,25 +116,6 @@ class WordTokenizer:
         at += np.arange(len(at))
         return self.ids[at], np.add.reduceat(lengths, firsts)
 
-    def count(self, texts: list[str]) -> dict[int, int]:
-        """How often each id occurs in the texts, by counting words first."""
-        from collections import Counter
-
-        if len(self.words) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self.forget()
-        words: Counter = Counter()
-        for text in texts:
-            words.update(text.replace("\n", " ").split(" "))
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        self._learn()
-        times = np.fromiter(words.values(), np.int64, len(words))
-        lengths = self.lengths[numbers]
-        at = np.repeat(self.starts[numbers] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-        found, back = np.unique(self.ids[at], return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, back, np.repeat(times, lengths))
-        return dict(zip(found.tolist(), total.tolist()))
-
 
 _LOADED: dict[str, WordTokenizer] = {}
 
@@ -109,3 +125,9 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
