@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalith.llm import idcodec
-from curalith.llm.common import batch_of, partitions_for, range_of, scratch_dir, split_points, text_chunks
-from curalith.llm.tokens import tokenizer
+from curalith.llm.common import batch_of, partitions_for, range_of, scratch_dir, split_points, stored, text_chunks
+from curalith.llm.tokens import tokenizer, vocabulary_size
 
 #: Ids in a block; a document with more is a block of its own.
 BLOCK_IDS = 500_000
-_CODED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -36,19 +34,42 @@ class TokenFiles:
         return f"{self.path}/dictionary"
 
 
-def id_counts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """``id, n``: occurrences of each id in all texts; a row per id and task is shuffled."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+def coded(docs: DataFrame, tokenizer_path: str, points: np.ndarray, end_id: int) -> DataFrame:
+    """Tokenizes each text once: ``part, doc_id, n, ids`` (two or four bytes each), and a task's counts.
+
+    The last row of a task has only ``counts``: how often it met each id.
+    """
+    wide = vocabulary_size(tokenizer_path) > 1 << 16
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
+    kind = "<u4" if wide else "<u2"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = tokenizer(tokenizer_path), Counter()
+        coder, total = tokenizer(tokenizer_path), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for _, texts in text_chunks(batch):
-                total.update(coder.count(texts))
+            names = batch.column("doc_id").to_pylist()
+            for first, texts in text_chunks(batch):
+                found, lengths = coder.encode(texts)
+                seen = np.bincount(found)
+                if len(seen) > len(total):
+                    total = np.append(total, np.zeros(len(seen) - len(total), np.int64))
+                total[: len(seen)] += seen
                 total[end_id] += len(texts)
-        yield batch_of(schema, list(total), list(total.values()))
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+                own = names[first : first + len(texts)]
+                ends = np.cumsum(lengths + 1)
+                raw = np.empty(int(ends[-1]), kind)
+                raw[ends - 1] = end_id
+                is_own = np.ones(len(raw), bool)
+                is_own[ends - 1] = False
+                raw[is_own] = found
+                offsets = np.concatenate([[0], ends * raw.itemsize]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                parts = [0 if x is None else int(np.searchsorted(points, x, side="right")) for x in own]
+                arrays = [pa.array(c, t.type) for c, t in zip((parts, own, lengths + 1), schema)]
+                yield pa.RecordBatch.from_arrays([*arrays, ids, pa.nulls(len(own), schema.field("counts").type)], schema=schema)
+        met = np.flatnonzero(total)
+        yield batch_of(schema, [None], [None], [0], [None], [[{"id": i, "n": n} for i, n in zip(met.tolist(), total[met].tolist())]])
+
+    return docs.mapInArrow(work, "part int, doc_id long, n long, ids binary, counts array<struct<id:long,n:long>>")
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, parts: int | None = None) -> TokenFiles:
@@ -57,54 +78,44 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     Null text is empty (only ``end_id``). Documents lie in ascending ``doc_id``, null
     first; documents of equal id by their ids' number and bytes. The ranks come from counts over all documents; the
     driver gets one row per id of the vocabulary, never a row per document. Texts are
-    tokenized where they are read, and only their bytes are shuffled.
+    tokenized once, where they are read; only ids are written and shuffled.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts = {r["id"]: r["n"] for r in id_counts(docs, tokenizer_path, end_id).collect()}
-    counts.setdefault(end_id, 0)
+    points = split_points(docs, "doc_id", parts or partitions_for(spark))
+    held = stored(coded(docs, tokenizer_path, points, end_id), "ids")
+    each = held.where("counts is not null").select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    counts = {end_id: 0} | {r["id"]: r["n"] for r in each.collect()}
     ids = np.array(sorted(counts, key=lambda i: (-counts[i], i)), np.uint32)
     ranks = np.zeros(int(ids.max()) + 1, np.uint32)
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
-    points = split_points(docs, "doc_id", parts or partitions_for(spark))
-    shared = spark.sparkContext.broadcast((ranks, points))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, (rank_of, cuts) = tokenizer(tokenizer_path), shared.value
-        for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            for first, texts in text_chunks(batch):
-                found, lengths = coder.encode(texts)
-                at, rows = 0, []
-                for name, n in zip(names[first:], lengths.tolist()):
-                    control, data = idcodec.encode(rank_of[np.append(found[at : at + n], end_id)])
-                    part = 0 if name is None else int(np.searchsorted(cuts, name, side="right"))
-                    rows.append((part, name, n + 1, control, data))
-                    at += n
-                yield batch_of(_CODED, *zip(*rows))
+    shared = spark.sparkContext.broadcast(ranks)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
-        part, names, lengths, held = None, [], [], []
+        rank_of, part, names, lengths, raw, size = shared.value, None, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            out = batch_of(schema, [part], [idcodec.write_block(names, np.array(lengths), np.concatenate(held))])
-            names.clear(), lengths.clear(), held.clear()
+            joined = b"".join(raw)
+            found = np.frombuffer(joined, "<u2" if len(joined) == 2 * size else "<u4")
+            out = batch_of(schema, [part], [idcodec.write_block(names, np.array(lengths), rank_of[found])])
+            names.clear(), lengths.clear(), raw.clear()
             return out
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if names and (row["part"] != part or sum(lengths) + row["n"] > BLOCK_IDS):
+            for number, name, n, own in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids"))):
+                if names and (number != part or size + n > BLOCK_IDS):
                     yield flush()
-                part = row["part"]
-                names.append(row["doc_id"])
-                lengths.append(row["n"])
-                held.append(idcodec.decode(row["control"], row["data"], row["n"]))
+                    size = 0
+                part = number
+                names.append(name)
+                lengths.append(n)
+                raw.append(own)
+                size += n
         if names:
             yield flush()
 
-    coded = docs.mapInArrow(code, "part int, doc_id long, n long, control binary, data binary")
-    ordered = coded.repartition(len(points) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n", "data")
+    ordered = held.where("part is not null").select("part", "doc_id", "n", "ids").repartition(len(points) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n", "ids")
     files = TokenFiles(path)
     # The text writer puts a value's bytes into the file as they are, and a line feed after them.
     written = ordered.mapInArrow(block, "part int, block binary").select("part", F.col("block").cast("string"))
