@@ -33,8 +33,9 @@ def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = lengths - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4, dtype=np.uint8) < lengths[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    most = int(lengths.max(initial=1))
+    used = np.arange(most, dtype=np.uint8) < lengths[:, None]
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :most][used].tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -46,9 +47,9 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     source = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
     starts = ends - lengths
     out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = lengths > k if k else slice(None)
-        out[has] |= source[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    for k in range(int(lengths.max(initial=0))):
+        byte = source[starts + k].astype(np.uint32) << np.uint32(8 * k)
+        out |= np.where(lengths > k, byte, np.uint32(0)) if k else byte
     return out
 
 
