@@ -1,3 +1,5 @@
+"""Rows and fixtures that the tests of this folder share; a second conftest would hide the first."""
+
 from __future__ import annotations
 
 import pytest

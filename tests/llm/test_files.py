@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from curalith.llm import sharding, warc
-from tests.llm.conftest import ODD
+from tests.llm.fixtures import ODD, none, odd  # noqa: F401
 
 
 @pytest.mark.parametrize("dims, bits", [(1, 4), (2, 4), (3, 3), (4, 2)])

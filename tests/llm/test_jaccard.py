@@ -11,7 +11,7 @@ import pytest
 from curalith.llm import jaccard
 from curalith.llm.components import components
 from curalith.llm.divide_skip import Lists, Threshold, linked
-from tests.llm.conftest import ODD
+from tests.llm.fixtures import ODD, none, odd  # noqa: F401
 
 
 def shingles(text, size):
@@ -101,8 +101,8 @@ def test_divide_skip_finds_what_counting_finds():
 
 def test_joined_sets_are_not_compared_again():
     tokens = [[1, 2, 3]] * 5
-    table = pa.table({"asks": [True] * 5, "rep": list(range(5)), "label": [0, 0, 2, 3, 4], "tokens": pa.array(tokens, pa.list_(pa.int64()))})
-    assert linked(table, Threshold(85, 100)).num_rows == 3
+    table = pa.table({"asks": [True] * 5, "label": [0, 0, 2, 3, 4], "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+    assert linked(table, Threshold(85, 100)).to_pydict() == {"a": [2, 3, 4], "b": [0, 0, 0]}
 
 
 def test_components(spark):

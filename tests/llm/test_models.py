@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalith.llm import langid, quality
-from tests.llm.conftest import ODD
+from tests.llm.fixtures import ODD, none, odd  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.01"
 

@@ -10,7 +10,7 @@ import corpus_pipeline
 from curalith.llm import langid, quality, queries
 from curalith.llm.common import stored
 from curalith.llm.tokens import WordTokenizer
-from tests.llm.conftest import ODD
+from tests.llm.fixtures import ODD, none, odd, tokenizer_path  # noqa: F401
 from tests.llm.test_jaccard import brute
 from tests.llm.test_text_operators import base_spans, contaminated
 from tests.llm.test_tokens import check_packing

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curalith.llm import decontaminate, merkle, pii
-from tests.llm.conftest import ODD
+from tests.llm.fixtures import ODD, none, odd  # noqa: F401
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

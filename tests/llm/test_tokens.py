@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from curalith.llm import idcodec, packing, token_files
 from curalith.llm.tokens import WordTokenizer
-from tests.llm.conftest import ODD
+from tests.llm.fixtures import ODD, none, odd, tokenizer_path  # noqa: F401
 
 
 @pytest.fixture(scope="module")
