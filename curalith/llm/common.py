@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,8 +16,9 @@ from pyspark.sql import functions as F
 
 from curalith.session import ensure_checkpoint_dir
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Characters of text that a Python worker turns into arrays at one time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -80,8 +84,23 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def releasing(work: Batches) -> Batches:
+    """A function of batches that gives a task's memory back at its end.
+
+    A Python worker lives on for later tasks, of other stages too; what its allocators keep
+    would count against the executor while others work.
+    """
+
+    @functools.wraps(work)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:

@@ -23,18 +23,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return own.union(others).distinct()
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node has one label, which has none itself."""
+    several = edges.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+    return several.union(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for the nodes of ``edges`` (longs ``a, b``): the least node reachable.
 
     Nodes that are their own label are left out. Each step is written, so neither lineage
-    nor a node's number of edges builds up; steps are repeated until nothing changes, which
-    takes about the logarithm of a component's diameter.
+    nor a node's number of edges builds up; steps are repeated until every node points to
+    its label, which takes about the logarithm of a component's diameter.
     """
     held = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return held.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        before = now
+    while not _is_done(held):
         held = stored(_small_star(_large_star(held)), "stars")
+    return held.select(F.col("a").alias("node"), F.col("b").alias("label"))

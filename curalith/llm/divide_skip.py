@@ -84,25 +84,27 @@ class Lists:
 
 
 def linked(table: pa.Table, t: Threshold) -> pa.Table:
-    """Links that join the labels of one task's sets; ``asks`` tells which sets search all.
+    """What one task's sets join: ``a, b`` for each label and the least it is joined with.
 
-    Sets of one label are known to be connected and are not compared. Every two sets of
-    which one asks end up connected here if they are linked, or are not linked.
+    ``asks`` tells which sets search all. Sets of one label are known to be connected and
+    are not compared; any two others, of which one asks, are in one component of the
+    result if they are linked.
     """
     tokens = table.column("tokens").combine_chunks()
     values, offsets = tokens.flatten().to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
     offsets = offsets - offsets[0]
-    names = table.column("rep").to_numpy()
-    _, root = np.unique(table.column("label").to_numpy(), return_inverse=True)
-    groups = len(np.unique(root))
-    lists, a, b = Lists(values, offsets), [], []
+    labels, own = np.unique(table.column("label").to_numpy(), return_inverse=True)
+    root, groups, lists = own.copy(), len(labels), Lists(values, offsets)
     for k in np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False)).tolist():
         if groups == 1:
             break
         for other in lists.search(values[offsets[k] : offsets[k + 1]], t, root != root[k]).tolist():
             if root[other] != root[k]:
-                a.append(names[k])
-                b.append(names[other])
                 root[root == root[other]] = root[k]
                 groups -= 1
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    final = np.zeros(len(labels), np.int64)
+    final[own] = root
+    least = np.full(len(labels), len(labels), np.int64)
+    np.minimum.at(least, final, np.arange(len(labels)))
+    joined = np.flatnonzero(least[final] != np.arange(len(labels)))
+    return pa.table({"a": pa.array(labels[joined], pa.int64()), "b": pa.array(labels[least[final[joined]]], pa.int64())})

@@ -1,12 +1,13 @@
 """Exact near-duplicate groups by word-shingle Jaccard, searched as a T-occurrence problem.
 
-1. Texts become sets of 64-bit shingle hashes. Equal sets are one class from here on, so
+1. Texts become sets of 64-bit tokens, one per distinct shingle. Equal sets are one class from here on, so
    large groups of copies take part once.
-2. A pair at the threshold shares a token among the first ``n - ceil(t * n) + 1`` of either
-   set in any fixed order. In hash order this finds the classes that may have a partner at
-   all; only their sets are formed again, and their tokens are counted.
+2. A pair at the threshold shares tokens among the first ``n - ceil(t * n) + k`` of either
+   set in any fixed order. With long shingles first this finds the classes that may have a
+   partner at all; only their sets are formed again, and their tokens are counted.
 3. In order of rarity (rarest first) the same bound leaves a few tokens of few classes.
-   Classes that share one form clusters; nothing outside a cluster can be linked with it.
+   Only classes that share one can be linked. Each goes to the cluster of the least class
+   that it shares a token with.
 4. Clusters, ordered by size of set, are cut into blocks of bounded content. A block is
    searched against itself and its neighbour by DivideSkip, see :mod:`divide_skip`; classes
    already joined are not searched again, so a group of copies costs its size, not its
@@ -24,25 +25,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalith.llm.common import partitions_for, stored, text_chunks
+from curalith.llm.bloom import Bloom
+from curalith.llm.common import partitions_for, releasing, set_aside, stored, text_chunks
 from curalith.llm.components import components
 from curalith.llm.divide_skip import Threshold, linked
 from curalith.llm.words import byte_class, mix, split_words
 
 #: Words are runs of bytes other than the blank and 09-0D.
 IN_WORD = byte_class((0x20, 0x20), (0x09, 0x0D))
+#: One token in so many of a set must be found in other prefixes, for the set to be looked at further.
+SHARE = 10
 #: A block holds at most so many sets, and so many tokens (or one set).
-BLOCK_SETS, BLOCK_TOKENS = 1000, 1_000_000
+BLOCK_SETS, BLOCK_TOKENS = 1000, 400_000
 
 
 def _sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Sorted distinct tokens of each text: a shingle's length, longest first, then 56 bits of its hash.
+
+    Any fixed order serves the bounds below; long shingles are the rare ones, so this one
+    leaves few chance matches at the front.
+    """
     words = split_words(texts, IN_WORD)
-    hashes = words.shingles(size)
+    lengths = np.cumsum(np.append(0, words.ends - words.starts))
+    hashes, n = words.shingles(size), len(words.starts)
+    spans = lengths[np.minimum(np.arange(n) + size, n)] - lengths[:-1]
+    tokens = (np.uint64(255) - np.minimum(spans, 255).astype(np.uint64)) << np.uint64(56) | hashes >> np.uint64(8)
     first = words.first.tolist()
     for a, b in zip(first, first[1:]):
         if b - a >= size:
-            yield np.unique(hashes[a : b - size + 1])
+            yield np.unique(tokens[a : b - size + 1])
         elif b > a:  # the whole text is one shingle, told apart from longer ones by its length
             whole = np.uint64(b - a)
             for h in words.hashes[a:b]:
@@ -52,65 +63,101 @@ def _sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def signatures(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """``doc_id, n, f1, f2, prefix``: set size, 128-bit fingerprint and prefix in hash order."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+def _fingerprint(found: np.ndarray) -> tuple[int, int]:
+    return tuple(int(mix(found ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0, 0x5851F42D4C957F2D))
+
 
+def _map_sets(docs: DataFrame, size: int, row, fields: list[tuple[str, pa.DataType]], kinds: str, sift=None) -> DataFrame:
+    """``doc_id`` and what ``row`` gives for each text's set; texts for which it is None have no row."""
+    schema = pa.schema([("doc_id", pa.int64()), *fields])
+
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("doc_id")
+            batch = batch if sift is None else sift(batch)
+            names = batch.column("doc_id").to_pylist()
             for first, texts in text_chunks(batch):
-                n, f1, f2, prefix = [], [], [], []
-                for found in _sets(texts, size):
-                    n.append(len(found))
-                    f1.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                    prefix.append(found[: t.prefix(len(found))].view(np.int64))
-                arrays = [names.slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+                rows = [(name, *got) for name, found in zip(names[first:], _sets(texts, size)) if (got := row(found)) is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return chosen.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id long, {kinds}")
 
 
-def _token_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``rep, f1, n, tokens`` for documents whose text is wanted whole."""
-    schema = pa.schema([("rep", pa.int64()), ("f1", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n, f1, f2``: size and 128-bit fingerprint of each text's set."""
+    return _map_sets(docs, size, lambda found: (len(found), *_fingerprint(found)), [("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())], "n long, f1 long, f2 long")
+
+
+def least_shared(n: int) -> int:
+    """How many tokens of its prefix a set of ``n`` must share with its partner; see :func:`_candidates`."""
+    return max(1, n // SHARE)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column("doc_id")
-            for first, texts in text_chunks(batch):
-                sets = list(_sets(texts, size))
-                f1 = [int(mix(x).sum(dtype=np.uint64).view(np.int64)) for x in sets]
-                arrays = [names.slice(first, len(texts)), pa.array(f1, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return docs.mapInArrow(work, "rep long, f1 long, n long, tokens array<long>")
+def _candidates(docs: DataFrame, classes: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """``rep`` of the classes that may have a partner.
+
+    If two sets overlap in at least ``least(n)`` tokens, their first ``n - least(n) + k``
+    tokens in a fixed order have ``k`` in common, for the smaller ``k`` of
+    the two. So a class needs as many tokens in its prefix that another prefix holds too.
+    Tokens are cut to 48 bits here, which can only add candidates.
+    """
+    low = np.uint64((1 << 48) - 1)
+
+    def row(found: np.ndarray):
+        n = len(found)
+        return (n, (found[: t.prefix(n) + least_shared(n) - 1] & low).view(np.int64)) if n else None
+
+    prefixes = _map_sets(docs, size, row, [("n", pa.int64()), ("prefix", pa.list_(pa.int64()))], "n long, prefix array<long>")
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    held = stored(prefixes.join(reps, "doc_id", "left_semi"), "prefixes")
+    each = held.select("doc_id", "n", F.explode("prefix").alias("token"))
+    shared = stored(each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared-tokens")
+    met = each.join(shared, "token").groupBy("doc_id", "n").agg(F.count("*").alias("met"))
+    partner = F.ceil(F.col("n") * t.num / t.den)
+    return met.where(F.col("met") >= F.greatest(F.lit(1), F.floor(partner / SHARE))).select(F.col("doc_id").alias("rep")).distinct()
+
+
+def _token_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """``sid, rep, n, tokens``: the whole sets of the chosen documents, numbered.
+
+    A Bloom filter spares most other texts the way to the join, which decides.
+    """
+    sieve = Bloom.of(chosen, "rep")
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+
+    def sift(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(shared.value.may_hold(batch.column("doc_id").to_numpy())))
+
+    sets = _map_sets(kept, size, lambda found: (found.view(np.int64),) if len(found) else None, [("tokens", pa.list_(pa.int64()))], "tokens array<long>", sift)
+    found = sets.join(chosen.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return stored(found.select(F.monotonically_increasing_id().alias("sid"), F.col("doc_id").alias("rep"), F.size("tokens").cast("long").alias("n"), "tokens"), "sets")
 
 
 def _rare_prefixes(sets: DataFrame, t: Threshold) -> DataFrame:
-    """``rep, f1, n, token``: the tokens of each set's prefix, rarest first, that other sets hold too.
+    """``sid, rep, n, token``: the tokens of each set's prefix, rarest first, that other sets hold too.
 
     Tokens of one set only come first in this order and are never shuffled by their set;
     a set whose whole prefix is of that kind has no partner and no row.
     """
-    each = sets.select("rep", "f1", "n", F.explode("tokens").alias("token"))
+    each = sets.select("sid", "rep", "n", F.explode("tokens").alias("token"))
     shared = stored(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
-    held = each.join(shared, "token").groupBy("rep", "f1", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
-    need = F.col("n") - F.ceil(F.col("n") * F.lit(t.num) / F.lit(t.den)) + 1
+    held = each.join(shared, "token").groupBy("sid", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
+    need = F.col("n") - F.ceil(F.col("n") * t.num / t.den) + 1
     room = (need - (F.col("n") - F.size("held"))).cast("int")
-    return held.withColumn("room", room).where("room > 0").select("rep", "f1", "n", F.explode(F.expr("slice(held, 1, room).token")).alias("token"))
+    return held.withColumn("room", room).where("room > 0").select("sid", "rep", "n", F.explode(F.expr("slice(held, 1, room).token")).alias("token"))
 
 
 def _blocked(clustered: DataFrame) -> DataFrame:
-    """Adds ``block`` to ``cluster, n, rep, f1``: runs of one cluster, in order of size.
+    """Adds ``block`` to ``cluster, n, rep, sid``: runs of one cluster, in order of size.
 
     Rows are dealt by ranges of (cluster, n, rep), so a cluster of any size spreads over
     tasks; each task cuts its runs by itself.
     """
-    schema = pa.schema([("cluster", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("f1", pa.int64()), ("block", pa.int64())])
+    schema = pa.schema([("cluster", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("sid", pa.int64()), ("block", pa.int64())])
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -122,58 +169,56 @@ def _blocked(clustered: DataFrame) -> DataFrame:
                     block, cluster, sets, tokens = block + 1, c, 0, 0
                 sets, tokens = sets + 1, tokens + n
                 out.append(block)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("cluster", "n", "rep", "f1")), pa.array(out, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("cluster", "n", "rep", "sid")), pa.array(out, pa.int64())], schema=schema)
 
     parts = partitions_for(clustered.sparkSession)
-    ordered = clustered.select("cluster", "n", "rep", "f1").repartitionByRange(parts, "cluster", "n", "rep").sortWithinPartitions("cluster", "n", "rep")
-    return ordered.mapInArrow(work, "cluster long, n long, rep long, f1 long, block long")
+    ordered = clustered.select("cluster", "n", "rep", "sid").repartitionByRange(parts, "cluster", "n", "rep").sortWithinPartitions("cluster", "n", "rep")
+    return ordered.mapInArrow(work, "cluster long, n long, rep long, sid long, block long")
 
 
 def _search(rows: DataFrame, t: Threshold) -> DataFrame:
-    """Links ``a, b`` found in groups ``task`` of ``rep, label, asks, tokens``."""
+    """Links ``a, b`` found in groups ``task`` of ``label, asks, tokens``."""
     return rows.groupBy("task").applyInArrow(lambda table: linked(table, t), "a long, b long")
 
 
-def links(docs: DataFrame, chosen: DataFrame, size: int, t: Threshold) -> DataFrame:
-    """``node, label`` of the classes (``chosen.rep``) that are linked with another class."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = stored(_token_sets(texts.join(chosen, texts["doc_id"] == chosen["rep"], "left_semi"), size).dropDuplicates(["rep", "f1"]), "sets")
+def links(docs: DataFrame, chosen: DataFrame, size: int, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Components found block by block (``node, label``), and links ``a, b`` between their labels."""
+    sets = _token_sets(docs, chosen, size)
     prefixes = stored(_rare_prefixes(sets, t), "prefixes")
     least = stored(prefixes.groupBy("token").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m <> x").select("token", "m"), "token-leaders")
-    pairs = prefixes.join(least, "token").select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    clusters = components(pairs)
-    own = clusters.select(F.col("label").alias("node"), "label").distinct().union(clusters)
-    nodes = prefixes.select("rep", "f1", "n").distinct().join(own, F.col("rep") == F.col("node")).select(F.col("label").alias("cluster"), "n", "rep", "f1")
-    blocks = stored(_blocked(nodes), "blocks")
+    nodes = prefixes.join(least, "token").groupBy("sid", "rep", "n").agg(F.min("m").alias("cluster"))
+    blocks = stored(_blocked(stored(nodes, "nodes")), "blocks")
 
     heads = blocks.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     follow = Window.partitionBy("cluster").orderBy("low", "block")
     heads = stored(heads.withColumn("next", F.lead("block").over(follow)), "block-heads")
-    held = blocks.join(sets.select("rep", "f1", "tokens"), ["rep", "f1"])
+    held = blocks.join(sets.select("sid", "tokens"), "sid")
     near = held.join(heads.select("block", "next"), "block")
     rows = near.select(
         F.explode(F.filter(F.array(F.struct(F.col("block").alias("task"), F.lit(True).alias("asks")), F.struct(F.col("next").alias("task"), F.lit(False).alias("asks"))), lambda x: x["task"].isNotNull())).alias("to"),
-        "rep", F.col("rep").alias("label"), "tokens",
-    ).select("to.*", "rep", "label", "tokens")
+        F.col("rep").alias("label"), "tokens",
+    ).select("to.*", "label", "tokens")
     found = stored(_search(rows, t), "links")
-    label = components(found)
+    label = stored(components(found), "block-components")
 
-    labels = blocks.join(label, F.col("rep") == F.col("node"), "left").select("rep", "f1", "block", "cluster", F.coalesce("label", "rep").alias("label"))
+    labels = blocks.join(label, F.col("rep") == F.col("node"), "left").select("sid", "block", F.coalesce("label", "rep").alias("label"))
     labels = stored(labels, "labels")
-    seen = prefixes.join(labels, ["rep", "f1"]).select("token", "block", "label").distinct()
-    mixed = seen.groupBy("token").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("block").alias("b1"), F.max("block").alias("b2")).where("l1 <> l2 and b1 <> b2").select("token")
+    # A row per token and block, whatever the number of its sets: two blocks are open if they do not hold one and the same label.
+    seen = prefixes.join(labels, "sid").groupBy("token", "block").agg(F.min("label").alias("l1"), F.max("label").alias("l2"))
+    mixed = seen.groupBy("token").agg(F.min("l1").alias("m1"), F.max("l2").alias("m2"), F.min("block").alias("b1"), F.max("block").alias("b2")).where("m1 <> m2 and b1 <> b2").select("token")
     seen = stored(seen.join(stored(mixed, "mixed-tokens"), "token"), "mixed")
     x, y = seen.alias("x"), seen.alias("y")
-    open_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
+    differ = F.least("x.l1", "y.l1") != F.greatest("x.l2", "y.l2")
+    open_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & differ).select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
     p, q = heads.alias("p_head"), heads.alias("q_head")
     open_pairs = open_pairs.join(p, F.col("p") == F.col("p_head.block")).join(q, F.col("q") == F.col("q_head.block"))
     done = F.col("p_head.next").eqNullSafe(F.col("q")) | F.col("q_head.next").eqNullSafe(F.col("p"))
     fits = (F.col("p_head.low") * t.num <= F.col("q_head.high") * t.den) & (F.col("q_head.low") * t.num <= F.col("p_head.high") * t.den)
     open_pairs = stored(open_pairs.where(~done & fits).select("p", "q"), "block-pairs")
     sides = open_pairs.select(F.struct("p", "q").alias("task"), F.explode(F.array(F.struct(F.col("p").alias("block"), F.lit(False).alias("asks")), F.struct(F.col("q").alias("block"), F.lit(True).alias("asks")))).alias("to")).select("task", "to.*")
-    rows = held.select("block", "rep", "f1", "tokens").join(labels.select("rep", "f1", "label"), ["rep", "f1"]).join(sides, "block").select("task", "asks", "rep", "label", "tokens")
+    rows = held.select("block", "sid", "tokens").join(labels.select("sid", "label"), "sid").join(sides, "block").select("task", "asks", "label", "tokens")
     more = _search(rows, t)
-    return components(found.union(more))
+    return label, more
 
 
 def grouped(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -186,18 +231,21 @@ def grouped(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> Da
     component. An empty table gives an empty table. Other columns are ignored.
     """
     t = Threshold(num, den)
-    sig = stored(signatures(docs, size, t), "signatures")
+    sig = stored(signatures(docs, size), "signatures")
     named = sig.where("n > 0 and doc_id is not null")
-    classes = stored(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    each = classes.select("rep", F.explode("prefix").alias("token"))
-    shared = stored(each.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "shared-tokens")
-    chosen = stored(each.join(shared, "token").select("rep").distinct(), "chosen")
-    linked_classes = links(docs, chosen, size, t)
+    classes = stored(named.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    chosen = stored(_candidates(docs, classes, size, t), "chosen")
+    within, between = links(docs, chosen, size, t)
     # Texts that share a doc_id are linked through it.
     several = stored(named.groupBy("doc_id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("doc_id"), "several")
-    reps = named.select("doc_id", "f1", "f2", "n").join(several, "doc_id").join(classes.drop("prefix"), ["f1", "f2", "n"])
+    reps = named.select("doc_id", "f1", "f2", "n").join(several, "doc_id").join(classes, ["f1", "f2", "n"])
     through = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    label = stored(components(linked_classes.select(F.col("node").alias("a"), F.col("label").alias("b")).union(through)), "components")
+    whole = within.select(F.col("node").alias("a"), "label")
+    mapped = through.join(whole, "a", "left").select(F.coalesce("label", "a").alias("b_of_a"), "b")
+    mapped = mapped.join(within, F.col("b") == F.col("node"), "left").select(F.col("b_of_a").alias("a"), F.coalesce("label", "b").alias("b"))
+    across = stored(components(between.union(mapped)), "components")
+    above = across.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    label = within.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label")).union(across)
     final = stored(classes.select("f1", "f2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("component_id")), "class-components")
     out = sig.select("doc_id", "n", "f1", "f2").join(final, ["f1", "f2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -206,4 +254,5 @@ def grouped(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> Da
 def one_of_each(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """The documents that are the first of their component, unchanged; a kept document keeps all its rows."""
     dropped = stored(grouped(docs, size, num, den).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti")
+    own, columns = set_aside(docs, ["_gone"])
+    return own.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti").select(*columns)
