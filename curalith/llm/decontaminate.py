@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalith.llm.common import set_aside, text_chunks
+from curalith.llm.common import releasing, set_aside, text_chunks
 from curalith.llm.words import Words, byte_class, split_words
 
 #: Words are runs of ASCII letters, digits and all bytes of non-ASCII characters.
@@ -129,6 +129,7 @@ def token_counts(docs: DataFrame, index: Index) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast((index.tokens, index.sizes()))
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sizes = shared.value
         cells, total = _filter(tokens), np.zeros(len(tokens), np.int64)
@@ -174,6 +175,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
     schema = docs.select(*kept, *ADDED).schema
     hit_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:

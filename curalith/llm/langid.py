@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalith.llm.common import text_chunks
+from curalith.llm.common import releasing, text_chunks
 
 BUCKETS = 1 << 17
 #: Cost of a change of language, in nats, and the weight of a trigram that was never seen.
@@ -244,6 +244,7 @@ def fit(labelled: DataFrame, penalty: float = PENALTY) -> Model:
     """
     schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
 
@@ -300,6 +301,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", span)])
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("doc_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curalith.llm.common import CHUNK_CHARS, batch_of, partitions_for, range_of, split_points
+from curalith.llm.common import CHUNK_CHARS, batch_of, partitions_for, range_of, releasing, split_points
 from curalith.llm.words import byte_hashes, mix
 
 LEAF_BLANKS = 8
@@ -149,7 +149,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    points = split_points(docs, "doc_id", 2 * partitions_for(spark))
+    points = split_points(docs, "doc_id", 8 * partitions_for(spark))
     ids = docs.select("doc_id").withColumn("part", range_of("doc_id", points))
     heads = ids.groupBy("part").agg(F.min("doc_id").alias("head"), F.max(F.col("doc_id").isNull()).alias("empty")).orderBy("part").collect()
     firsts = [None if r["empty"] else r["head"] for r in heads]
@@ -198,6 +198,7 @@ def compared(docs: DataFrame) -> DataFrame:
     gives an empty table.
     """
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, part, closed = [], 0, None, False
         for batch in batches:

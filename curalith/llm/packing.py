@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalith.llm.common import batch_of, stored, text_chunks
+from curalith.llm.common import batch_of, releasing, stored, text_chunks
 from curalith.llm.tokens import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,6 +35,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     are documents of their own.
     """
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(tokenizer_path)
         for batch in batches:
@@ -51,6 +52,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                         for column, value in zip(held, (name, k, start, len(part), zlib.crc32(part.tobytes()))):
                             column.append(value)
                 yield batch_of(_PIECES, *held)
+        coder.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECES)
 
@@ -202,6 +204,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = ranked.select(*columns, (F.col("rank") + F.col("base")).alias("_rank"))
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = places.value
         for batch in batches:

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curalith.llm.common import set_aside
+
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Characters beside a match that are looked at for context words.
 CONTEXT = 48
@@ -130,7 +132,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     Columns stay as they are; a text without spans, or null, is unchanged. ``n_chars``, where
     the input has it, is counted anew for changed texts.
     """
-    columns = docs.columns
+    names_kept = docs.columns
+    docs, columns = set_aside(docs, ["_pii", "_pii_text", "_pii_digit", "_redacted", *(f"_pii_{x}{k}" for k in range(len(KINDS)) for x in ("gaps", "found"))])
     text = F.col("text").cast("string")
     names = F.array(*(F.lit(f"[{k.name.upper()}]") for k in KINDS))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
@@ -145,5 +148,5 @@ def redacted(docs: DataFrame) -> DataFrame:
     new = F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))
     out = found(docs).withColumn("_redacted", F.when(F.size("_pii") > 0, new).otherwise(F.col("text")))
     counted = F.when(F.size("_pii") > 0, F.length("_redacted").cast(dict(docs.dtypes).get("n_chars", "long")))
-    values = {"text": F.col("_redacted"), "n_chars": F.coalesce(counted, F.col("n_chars")) if "n_chars" in columns else None}
-    return out.select(*(values[c].alias(c) if values.get(c) is not None else F.col(c) for c in columns))
+    values = {"text": F.col("_redacted"), "n_chars": F.coalesce(counted, F.col("n_chars")) if "n_chars" in names_kept else None}
+    return out.select(*(values[c].alias(c) if values.get(c) is not None else same for c, same in zip(names_kept, columns)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curalith.llm.common import partitions_for, stored
+from curalith.llm.common import partitions_for, releasing, stored
 
 BITS = 5
 SHARDS = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
@@ -92,6 +92,7 @@ def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     fields = df.schema
 
+    @releasing
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalith.llm import idcodec
-from curalith.llm.common import batch_of, partitions_for, range_of, scratch_dir, split_points, stored, text_chunks
+from curalith.llm.common import batch_of, partitions_for, range_of, releasing, scratch_dir, split_points, stored, text_chunks
 from curalith.llm.tokens import tokenizer, vocabulary_size
 
 #: Ids in a block; a document with more is a block of its own.
@@ -43,6 +43,7 @@ def coded(docs: DataFrame, tokenizer_path: str, points: np.ndarray, end_id: int)
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))])
     kind = "<u4" if wide else "<u2"
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, total = tokenizer(tokenizer_path), np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -66,6 +67,7 @@ def coded(docs: DataFrame, tokenizer_path: str, points: np.ndarray, end_id: int)
                 parts = [0 if x is None else int(np.searchsorted(points, x, side="right")) for x in own]
                 arrays = [pa.array(c, t.type) for c, t in zip((parts, own, lengths + 1), schema)]
                 yield pa.RecordBatch.from_arrays([*arrays, ids, pa.nulls(len(own), schema.field("counts").type)], schema=schema)
+        coder.forget()
         met = np.flatnonzero(total)
         yield batch_of(schema, [None], [None], [0], [None], [[{"id": i, "n": n} for i, n in zip(met.tolist(), total[met].tolist())]])
 
@@ -91,6 +93,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     ranks[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
 
+    @releasing
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
         rank_of, part, names, lengths, raw, size = shared.value, None, [], [], [], 0
@@ -136,6 +139,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
     part = F.regexp_extract(F.col("path"), r"part=(\d+)/", 1).cast("int").alias("part")
     sizes_schema = pa.schema([("part", pa.int32()), ("n", pa.int64())])
 
+    @releasing
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column("part").to_pylist(), batch.column("content")):
@@ -148,6 +152,7 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int64()))] * with_ids)
 
+    @releasing
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_table, first = shared.value
         for batch in batches:

@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: A worker forgets its words beyond these sizes, which bounds its memory.
-CACHED_WORDS, CACHED_CHARS = 1_200_000, 20_000_000
+CACHED_WORDS, CACHED_CHARS = 500_000, 8_000_000
 
 
 _STOPS = (".", ",")
@@ -121,7 +121,8 @@ _LOADED: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer for a file; it lives as long as the worker."""
+    """The worker's tokenizer for a file; a task that ends lets it forget its words, so as not
+    to hold memory while the worker serves other stages."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]

@@ -18,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalith.llm.common import scratch_dir, stored
+from curalith.llm.common import releasing, scratch_dir, stored
 
 CLOSE = "\r\n\r\n"
 #: Payloads below this size are always written whole.
@@ -107,6 +107,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], dict[str, st
 def index(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives under ``path``: see :data:`INDEX`."""
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -168,6 +169,7 @@ def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
                 k += count
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
+    @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, held = None, []
         for batch in batches:
