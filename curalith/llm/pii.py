@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from curalith.llm.common import set_aside
 
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Zeros, then what they lead; at least one digit in all.
+_OCTET = "(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
 #: Characters beside a match that are looked at for context words.
 CONTEXT = 48
 #: Spans of the kinds that the method adds count from this score on.

@@ -111,6 +111,20 @@ def test_personal_data(spark, odd, none):
     assert pii.report(odd).count() == len(ODD) and pii.report(none).collect() == []
 
 
+def test_zeros_in_addresses(spark):
+    r = random.Random(8)
+    texts = ["at 10.0.0.1, 192.168.0.1 127.0.0.1", "0.0.0.0 00.000.0.00 0.256.0.0 1.0.0256.1 010.0100.00255.09", "10.0.0.1.0.0.0.0 0..0.0.0 0.0.0"]
+    texts += ["".join(r.choice("0012 ..25") for _ in range(r.randint(0, 60))) for _ in range(200)]
+    rows = {row["doc_id"]: row for row in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i]["n_ip"] for i in range(3)] == [3, 3, 2]
+    for i, text in enumerate(texts):
+        want = base_spans(text)
+        assert rows[i]["n_ip"] == sum(s.startswith("ip") for s in want), text
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), text
+    docs = spark.createDataFrame([(1, "from 10.0.0.1!", 14)], "doc_id long, text string, n_chars long")
+    assert pii.redacted(docs).first()["text"] == "from [IP]!"
+
+
 def test_redaction(spark, odd):
     texts = ["to a@b.cd now", "4111 1111 1111 1111@x.com!", "nothing", None, "x 1.2.3.4 y +49 30 1234567 z"]
     docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
