@@ -83,6 +83,18 @@ def test_good_text_stays_and_junk_goes(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in quality.judged(docs, labels).where("kept").collect()}
 
 
+def test_repeated_words_go_and_few_short_texts_set_no_limit(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judged(docs, labels).join(labels, "doc_id").toPandas()
+    assert rows[rows.quality == 0].kept.mean() < 0.08
+    scores = [(i, "a", 1.5 + 0.001 * (i % 50), 1000) for i in range(300)] + [(300, "a", 2.8, 3), (301, "b", 1.6, 1000), (302, "c", 1.6, 1000)]
+    own = spark.createDataFrame(scores, "doc_id long, lang string, _score double, _length int")
+    known = spark.createDataFrame([(i, 1, 0) for i in range(302)], "doc_id long, quality int, toxic int")
+    found = {r["lang"]: r for r in quality.limits(own, known).collect()}
+    assert found["a"]["median"] + found["a"]["reach"] < 1.7
+    assert all(found[k]["median"] + found[k]["reach"] < 1.7 for k in "bc")
+
+
 def test_judging_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (7, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.judged(odd, labels).collect()
