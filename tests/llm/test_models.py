@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -95,6 +96,19 @@ def test_repeated_words_go_and_few_short_texts_set_no_limit(spark):
     assert all(found[k]["median"] + found[k]["reach"] < 1.7 for k in "bc")
 
 
+def test_toxic_text_goes(spark):
+    r = random.Random(5)
+    plain = [" ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "and", "ate"]) for _ in range(40)) for _ in range(120)]
+    rows = [(i, f"{t} Vile, {t}" if i % 4 == 0 else t, "en") for i, t in enumerate(plain)]
+    docs = spark.createDataFrame([*rows, (900, plain[1] + " VILE!", "en"), (901, plain[2] + " evil", "en"), (902, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"]: x["kept"] for x in quality.judged(docs, labels).collect()}
+    assert not any(kept[i] for i in range(0, 120, 4)) and not kept[900] and kept[902]
+    assert set(quality.fit_toxic(docs, labels).words) == {"vile"}
+    assert {x["doc_id"] for x in quality.good(docs, labels).select("doc_id").collect()} == {i for i, k in kept.items() if k}
+    assert sum(kept[i] for i in range(120) if i % 4) >= 88
+
+
 def test_judging_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (7, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.judged(odd, labels).collect()
