@@ -104,11 +104,18 @@ def test_toxic_text_goes(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
     kept = {x["doc_id"]: x["kept"] for x in quality.judged(docs, labels).collect()}
     assert not any(kept[i] for i in range(0, 120, 4)) and not kept[900] and kept[902]
-    assert set(quality.fit_toxic(docs, labels).words) == {"vile"}
+    assert set(quality.fit_toxic(quality.labelled(docs, labels)).words) == {"vile"}
     assert {x["doc_id"] for x in quality.good(docs, labels).select("doc_id").collect()} == {i for i, k in kept.items() if k}
     assert sum(kept[i] for i in range(120) if i % 4) >= 88
 
 
+def test_all_trusted_documents_train(spark, monkeypatch):
+    rows = spark.range(20_400).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 100 == 0).cast("int").alias("toxic"))
+    monkeypatch.setattr(quality, "fit", lambda texts: texts.count())
+    assert quality.fit_trusted(quality.labelled(rows, labels)) == 20_196
+
+
 def test_judging_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (7, 0, 0), (None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.judged(odd, labels).collect()
