@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,23 +104,21 @@ def releasing(work: Batches) -> Batches:
     return wrapped
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Slices of a batch as (first row, texts) with about ``limit`` characters; null is empty.
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list]]:
+    """Slices of a batch as (first row, texts) with about ``limit`` bytes; null is empty.
 
-    A single longer text is a slice of its own, so memory follows the longest text.
+    Only one slice at a time becomes Python texts. A single longer text is a slice of its
+    own, so memory follows the longest text.
     """
-    texts = batch.column(column).to_pylist()
-    first, held, size = 0, [], 0
-    none = b"" if pa.types.is_binary(batch.schema.field(column).type) else ""
-    for i, text in enumerate(texts):
-        text = text or none
-        if held and size + len(text) > limit:
-            yield first, held
-            first, held, size = i, [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield first, held
+    values = batch.column(column)
+    none = b"" if pa.types.is_binary(values.type) else ""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, [none if t is None else t for t in values.slice(first, last - first).to_pylist()]
+        first = last
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:

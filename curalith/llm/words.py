@@ -9,11 +9,6 @@ import numpy as np
 #: Folds A-Z; every other byte stays.
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: Odd, and 5 modulo 8, so that differing places of a byte tell in the high bits.
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -21,7 +16,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Keeps the first bytes of a lane of eight.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -32,21 +29,6 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     return table
 
 
-class _Powers:
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, _BASE_INVERSE)]), dtype=np.uint64)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 @dataclass
 class Words:
     """Folded bytes of all texts; per word its bytes' range and hash; per text its first word (one more at the end)."""
@@ -80,20 +62,50 @@ class Words:
         return out
 
 
-def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range; equal bytes have equal hashes wherever they lie."""
-    up, down = _POWERS.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _fold(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of ``counts`` values as a run of one value for every eight; all counts are at least one."""
+    first = np.cumsum(counts) - counts
+    groups = -(-counts // 8)
+    inside = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+    at = np.repeat(first, groups) + 8 * inside
+    left = np.repeat(counts, groups) - 8 * inside
+    out = np.full(len(at), _STEP)
+    for k in range(8):
+        more = left > k
+        if not more.any():
+            break
+        out[more] = mix(out[more] ^ values[at[more] + k]) + _STEP
+    return out, groups
 
 
-def split_words(texts: list[bytes | None], in_word: np.ndarray) -> Words:
-    """Words are the longest runs of bytes of the class, after folding A-Z; null has none.
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range; equal bytes have equal hashes wherever they lie.
+
+    Lanes of eight bytes are mixed one into the other, eight lanes to a value, until each
+    range is one value; so no arithmetic of the bytes' places can make ranges collide.
+    """
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    sizes = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes_at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    counts = np.maximum(-(-sizes // 8), 1)
+    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    values = lanes_at[np.repeat(starts, counts) + 8 * inside] & _KEEP[np.clip(np.repeat(sizes, counts) - 8 * inside, 0, 8)]
+    while True:
+        values, counts = _fold(values, counts)
+        if int(counts.max()) == 1:
+            return mix(values + sizes.astype(np.uint64))
+
+
+def split_words(texts: list[bytes | None], in_word: np.ndarray, fold: bool = True) -> Words:
+    """Words are the longest runs of bytes of the class, after folding A-Z (if asked); null has none.
 
     The class must not hold the blank, which is put between texts.
     """
-    data = _FOLD[np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8)]
+    data = np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8)
+    data = _FOLD[data] if fold else data
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = in_word[data]
     edges = np.diff(inside)
