@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curalith.llm import decontaminate, jaccard, langid, merkle, packing, pii, quality, sharding, token_files, warc
+from curalith.llm import decontaminate, jaccard, langid, merkle, packing, pii, quality, runs, sharding, token_files, warc
 from curalith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +123,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hilbert_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read_table(spark, sf_dir, "documents"), dims=["lang", "source", "size"], n=16)
+
+
+def op13_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; in one document of ten, by its id, the words from some place on repeat."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1).cast("long"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("_w").cast("long")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), h.alias("_h"), F.when(h % 10 == 0, words).alias("_w"))
+    held = held.withColumn("_g", F.expr("_h div 10")).withColumn("_a", F.when(n > 0, F.col("_g") % n))
+    held = held.withColumn("_p", 1 + F.expr("(size(_w) - _a) div (3 + _g % 8)"))
+    tail = F.expr("transform(sequence(_a, cast(size(_w) - 1 as bigint)), i -> _w[cast(_a + (i - _a) % _p as int)])")
+    edited = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a").cast("int")), tail), " ")
+    return held.select("doc_id", F.when(F.col("_a").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(op13_texts(read_table(spark, sf_dir, "documents")))
+    # Runs come by start and period, so of equal exponents the first stays.
+    none = "cast(null as struct<start:bigint,length:bigint,period:bigint>)"
+    best = F.expr(f"aggregate(runs, {none}, (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_best.start").alias("start"),
+        F.col("_best.length").alias("length"),
+        F.col("_best.period").alias("period"),
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
