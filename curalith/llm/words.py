@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -31,14 +32,17 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Folded bytes of all texts; per word its bytes' range and hash; per text its first word (one more at the end)."""
+    """Folded bytes of all texts; per word its bytes' range; per text its first word (one more at the end)."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    hashes: np.ndarray
     first: np.ndarray
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return byte_hashes(self.data, self.starts, self.ends)
+
     def text_of(self, word: int) -> bytes:
         return self.data[self.starts[word] : self.ends[word]].tobytes()
 
@@ -110,6 +114,5 @@ def split_words(texts: list[bytes | None], in_word: np.ndarray, fold: bool = Tru
     inside[1:-1] = in_word[data]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    hashes = byte_hashes(data, starts, ends)
     bounds = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, bounds))
+    return Words(data, starts, ends, np.searchsorted(starts, bounds))
