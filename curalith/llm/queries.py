@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curalith.llm import decontaminate, jaccard, langid, merkle, packing, pii, quality, runs, search, sharding, token_files, warc
+from curalith.llm import decontaminate, html_text, jaccard, langid, merkle, packing, pii, quality, runs, search, sharding, token_files, warc
 from curalith.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
 
 
+#: The tables' pages have their article in an ``article`` element, and no references but these.
+_OP12_SQL = r"""
+WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS b FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(b, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS b FROM body),
+plain AS (SELECT page_id, url, replace(replace(replace(b, '&quot;', '"'), '&copy;', '©'), '&middot;', '·') AS b FROM bare),
+done AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(b, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM done
+"""
+
+
+@query("op12_html_text", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.with_main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op13_texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text``; in one document of ten, by its id, the words from some place on repeat."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
