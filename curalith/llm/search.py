@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from curalith.llm.common import batch_of, releasing, stored, text_chunks
-from curalith.llm.words import Words, byte_class, split_words
+from curalith.llm.words import byte_class, split_words, word_bytes
 
 #: Terms are runs of ASCII letters and digits and all bytes of non-ASCII characters, A-Z folded.
 IN_TERM = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -45,15 +45,6 @@ _COUNTS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms",
 _HEAPS = pa.schema([("item", pa.int32()), ("doc_id", pa.int64()), ("score", pa.int64()), ("task", pa.int32())])
 
 
-def term_bytes(words: Words) -> pa.Array:
-    """The words' bytes as an Arrow array, without a Python object for each."""
-    sizes = words.ends - words.starts
-    ends = np.cumsum(sizes)
-    at = np.repeat(words.starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(words.data[at])])
-
-
 class Index:
     """Postings of some items: per term, the items that hold it and how often each does."""
 
@@ -91,7 +82,7 @@ def term_counts(docs: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             for first, texts in text_chunks(batch):
                 words = split_words(texts, IN_TERM)
-                found = pc.index_in(term_bytes(words), value_set=terms)
+                found = pc.index_in(word_bytes(words), value_set=terms)
                 ours = found.is_valid().to_numpy(zero_copy_only=False)
                 key = words.owner()[ours] * len(terms) + found.drop_null().to_numpy().astype(np.int64)
                 key, counts = np.unique(key, return_counts=True)

@@ -3,76 +3,86 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from curalith.llm.words import byte_class, split_words, word_bytes
 
 #: A worker forgets its words beyond these sizes, which bounds its memory.
 CACHED_WORDS, CACHED_CHARS = 500_000, 8_000_000
-
-
-_STOPS = (".", ",")
-_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
-
-
-class _Words(dict):
-    """Word -> number; unknown words get the next number and are noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
+#: Words encoded in one call.
+CALL_WORDS = 2000
+_IN_WORD = byte_class((0x20, 0x20), (0x09, 0x0D))
+#: Lower-case letters that are their own normal form, and words of these, digits and ASCII signs but the apostrophe.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
+_SIMPLE = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+\Z")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordTokenizer:
     """Encodes texts through the tokenizers library, word by word with a bounded memory.
 
-    Holds for tokenizers that drop white space and never join across a blank or a line
-    break: there the ids of a text are the ids of its words in order. ``word_bpe_49k`` is
-    one; the tests compare whole texts with the library's own result.
+    Holds for tokenizers that drop white space and never join across it: there the ids of a
+    text are the ids of its words in order. ``word_bpe_49k`` is one; the tests compare whole
+    texts with the library's own result. Words are told apart in Arrow, so only distinct ones
+    reach Python. Where the tokenizer marks the ends of words and parts letters, digits and
+    signs (both are tried out), words of plain letters go to its BPE model without the steps
+    that leave them as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         self.folds = ids("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == ids("abcdefghijklmnopqrstuvwxyz")
-        self.stops = {c: ids(c)[0] for c in _STOPS if len(ids(c)) == 1 and ids("a" + c) == ids("a") + ids(c)}
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.letters = Tokenizer(self.library.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if suffix:
+            self.ends[[n for token, n in self.library.get_vocab().items() if token.endswith(suffix) and n < len(self.ends)]] = True
+        sample = ["the", "thou", "straße", "élan", "zq"]
+        self.parts = bool(
+            suffix
+            and ids("ab12%&x") == [i for p in ("ab", "1", "2", "%&", "x") for i in ids(p)]
+            and self.letters.encode(" ".join(sample), add_special_tokens=False).ids == [i for w in sample for i in ids(w)]
+        )
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.chars = _Words(), 0
+        self.numbers: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
 
-    def _learn(self) -> None:
-        """Encodes the noted words; "word," becomes "word" and ",", as the tokenizer has them apart."""
-        new, self.words.new = self.words.new, []
-        if not new:
-            return
-        tailed = [w for w in new if w[-1:] in self.stops and w[-2:-1] in _LETTERS and len(w) > 1]
-        cores = np.fromiter((self.words[w[:-1]] for w in tailed), np.int64, len(tailed))
-        tails = {w[-1] for w in tailed}
-        whole = [w for w in new if not (len(w) > 1 and w[-1] in tails and w[-2] in _LETTERS)] + self.words.new
-        self.words.new = []
-        while len(self.words) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        for k in range(0, len(whole), 2000):
-            self._add(whole[k : k + 2000], *self._encode_words(whole[k : k + 2000]))
-        if tailed:
-            lengths = self.lengths[cores]
-            ends = np.cumsum(lengths + 1)
-            at = np.repeat(self.starts[cores] - ends + lengths + 1, lengths + 1) + np.arange(int(ends[-1]))
-            at[ends - 1] = 0
-            flat = self.ids[at]
-            flat[ends - 1] = [self.stops[w[-1]] for w in tailed]
-            self._add(tailed, flat, lengths + 1)
+    def _learn(self, new: list[str]) -> None:
+        """Encodes words that are not known; a word of several pieces has the ids of its pieces."""
+        known, composed = self.numbers, []
+        letters = [w for w in new if self.parts and _LETTERS.match(w)]
+        others = list(set(new).difference(letters)) if letters else new
+        if self.parts:
+            simple = [w for w in others if _SIMPLE.match(w) and "<|" not in w]
+            composed = [(w, p) for w, p in zip(simple, map(_PIECE.findall, simple)) if len(p) > 1]
+            pieces = {p for _, own in composed for p in own}.difference(known, letters, others)
+            letters += [p for p in pieces if _LETTERS.match(p)]
+            others = [w for w in {*others, *pieces}.difference(letters, (w for w, _ in composed))]
+        for k in range(0, len(letters), CALL_WORDS):
+            own = letters[k : k + CALL_WORDS]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            self._add(own, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        for k in range(0, len(others), CALL_WORDS):
+            self._add(others[k : k + CALL_WORDS], *self._encode_words(others[k : k + CALL_WORDS]))
+        if composed:
+            flat = np.fromiter((known[p] for _, pieces in composed for p in pieces), np.int64)
+            each = self.lengths[flat]
+            ids = self.ids[_ranges(self.starts[flat], each)]
+            first = np.cumsum([0, *(len(pieces) for _, pieces in composed)])[:-1]
+            self._add([word for word, _ in composed], ids, np.add.reduceat(each, first))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, encoded as one text, and how many each has."""
@@ -82,39 +92,45 @@ class WordTokenizer:
         return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(words))
 
     def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        first = len(self.numbers)
+        self.numbers.update(zip(words, range(first, first + len(words))))
+        while len(self.numbers) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.lengths[numbers] = lengths
-        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : len(self.numbers)] = lengths
+        self.starts[first : len(self.numbers)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
         self.chars += sum(map(len, words))
 
-    def _words_of(self, text: str) -> list[str]:
-        """Pieces between blanks and line breaks, with A-Z folded as the tokenizer itself does."""
-        if self.folds and "<|" not in text:
-            text = text.encode().lower().decode()
-        return text.replace("\n", " ").split(" ")
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        if len(self.words) > CACHED_WORDS or self.chars > CACHED_CHARS:
+        if len(self.numbers) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.forget()
-        words: list[str] = []
-        firsts = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            firsts[i] = len(words)
-            words += self._words_of(text)
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        self._learn()
-        if not len(texts):
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        # A-Z may be folded beforehand unless the text may hold a special token's name.
+        raw = [(t.encode().lower() if self.folds and "<|" not in t else t.encode()) for t in texts]
+        words = split_words(raw, _IN_WORD, fold=False)
+        coded = word_bytes(words).dictionary_encode()
+        # The distinct words as one text, which is split faster than an array is taken apart.
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(b" ", pa.large_binary()))
+        distinct = joined[0].as_py().decode().split(" ") if len(coded.dictionary) else []
+        new = [w for w in distinct if w not in self.numbers]
+        if new:
+            self._learn(new)
+        if not len(words.starts):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[numbers] - ends + lengths, lengths)
-        at += np.arange(len(at))
-        return self.ids[at], np.add.reduceat(lengths, firsts)
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[_ranges(self.starts[numbers], lengths)], np.diff(before[words.first])
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
