@@ -33,7 +33,7 @@ _INDEX = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """``page_id, refers_to`` of pages whose payload an earlier page (smaller id) has.
+    """``page_id, digest, n, refers_to`` of pages whose payload an earlier page (smaller id) has.
 
     Digests are aggregated before the shuffle, so a payload that a third of all pages share
     is one row per task; the stored groups let Spark split such a key in the join.
@@ -41,7 +41,7 @@ def revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     each = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("n")).where(F.col("n") >= REVISIT_BYTES), "digests")
     groups = stored(each.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1 and refers_to is not null").drop("k"), "payload-groups")
-    return each.join(groups, ["digest", "n"]).where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return each.join(groups, ["digest", "n"]).where("page_id > refers_to").select("page_id", "digest", "n", "refers_to").distinct()
 
 
 def _header(*lines) -> F.Column:
@@ -53,12 +53,14 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     Null html is an empty payload, a null URL an empty one; line breaks in a URL are
     escaped. Of equal payloads of at least :data:`REVISIT_BYTES` bytes the smallest page id
-    is the response (all rows of that id, if repeated); others are revisit records without
-    payload. A page whose id is null is always a response.
+    is the response (all rows of that id and payload, if repeated); others are revisit records
+    without payload. Rows of one id with other payloads are records of their own. A page whose
+    id is null is always a response.
     """
-    earlier = stored(revisits(pages), "revisits").withColumnRenamed("page_id", "_page_id")
+    earlier = stored(revisits(pages), "revisits").select(*(F.col(c).alias(f"_{c}") for c in ("page_id", "digest", "n")), "refers_to")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = own.join(earlier, F.col("page_id") == F.col("_page_id"), "left")
+    own = own.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "n": F.octet_length("html").cast("long")})
+    rows = own.join(earlier, [F.col(c) == F.col(f"_{c}") for c in ("page_id", "digest", "n")], "left")
     again, n = F.col("refers_to").isNotNull(), F.octet_length("html").cast("string")
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _header(("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", n)), F.lit("\r\n"))
@@ -69,7 +71,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))),
         ("WARC-Date", F.lit(_DATE)),
         ("WARC-Target-URI", url),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(F.col("html").cast("binary"), 256))),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length(block).cast("string")),
     )
@@ -188,7 +190,14 @@ def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes archives to the shared folder, indexes them, and reads every record back by the index."""
+    """Writes archives to the shared folder, indexes them, and reads every record back by the index.
+
+    A row per row of ``pages``, repeated ones included: ``page_id, payload_bytes,
+    payload_digest, record_type, refers_to``. Null html is an empty payload, which is always a
+    response; a null id stays null. Payloads of any length are whole records. Ties of equal
+    payloads go to the smallest id. Further columns are ignored; an empty table gives an
+    empty table.
+    """
     spark = pages.sparkSession
     path = scratch_dir(spark, "warc")
     write_archives(pages, path)

@@ -105,3 +105,15 @@ def test_reads_are_coalesced():
     assert warc.coalesced([(0, 10), (10, 10), (25, 5), (200, 50), (240, 10)], gap=5, most=100) == [(0, 30, 3), (200, 50, 2)]
     assert warc.coalesced([(0, 60), (60, 60), (120, 300)], gap=5, most=100) == [(0, 60, 1), (60, 60, 1), (120, 300, 1)]
     assert warc.coalesced([]) == []
+
+
+def test_repeated_ids_with_other_payloads_and_clashing_columns(spark, none):
+    """An id's rows are told apart by their payloads: none is multiplied or lost."""
+    rows = [(1, PAGE), (2, PAGE), (5, PAGE), (5, PAGE + "own"), (6, PAGE), (6, PAGE + "own"), (6, PAGE + "last")]
+    pages = spark.createDataFrame([(i, "u", h, "kept", 0, "gone") for i, h in rows], "page_id long, url string, html string, digest string, n int, refers_to string")
+    got = sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=repr)
+    digest = {h: hashlib.sha256(h.encode()).hexdigest() for _, h in rows}
+    size = {h: len(h.encode()) for _, h in rows}
+    first = {PAGE: 1, PAGE + "own": 5, PAGE + "last": 6}
+    assert got == sorted(((i, size[h], digest[h], *(("revisit", first[h]) if first[h] != i else ("response", None))) for i, h in rows), key=repr)
+    assert warc.round_trip(pages.limit(0)).collect() == []

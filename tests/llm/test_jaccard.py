@@ -110,3 +110,11 @@ def test_components(spark):
     got = {tuple(r) for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(1, 41)} | {(101, 100), (103, 100)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_words_of_an_old_collision_stay_apart(spark):
+    """Two sequences whose polynomials agree modulo any power of two are other words."""
+    bit = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[x] for x in bit), "".join("ba"[x] for x in bit)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.grouped(docs, size=4, num=85, den=100).collect()} == {1, 2}
