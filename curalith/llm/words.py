@@ -98,10 +98,17 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     counts = np.maximum(-(-sizes // 8), 1)
     inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     values = lanes_at[np.repeat(starts, counts) + 8 * inside] & _KEEP[np.clip(np.repeat(sizes, counts) - 8 * inside, 0, 8)]
-    while True:
-        values, counts = _fold(values, counts)
-        if int(counts.max()) == 1:
-            return mix(values + sizes.astype(np.uint64))
+    values, counts = _fold(values, counts)
+    while int(counts.max()) > 1:
+        # Only longer ranges are folded on, so a hash does not depend on the ranges beside it.
+        each = np.repeat(counts > 1, counts)
+        folded, _ = _fold(values[each], counts[counts > 1])
+        longer, counts = counts > 1, -(-counts // 8)
+        merged = np.empty(int(counts.sum()), np.uint64)
+        at = np.repeat(longer, counts)
+        merged[at], merged[~at] = folded, values[~each]
+        values = merged
+    return mix(values + sizes.astype(np.uint64))
 
 
 def split_words(texts: list[bytes | None], in_word: np.ndarray, fold: bool = True) -> Words:

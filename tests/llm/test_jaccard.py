@@ -118,3 +118,12 @@ def test_long_words_of_an_old_collision_stay_apart(spark):
     texts = ["".join("ab"[x] for x in bit), "".join("ba"[x] for x in bit)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id long, text string")
     assert {r["component_id"] for r in jaccard.grouped(docs, size=4, num=85, den=100).collect()} == {1, 2}
+
+
+def test_hashes_do_not_depend_on_neighbours():
+    """Words of all lengths, alone and beside each other."""
+    from curalith.llm.words import split_words
+
+    words = [b"x" * n + b"y" for n in (0, 1, 6, 7, 8, 9, 62, 63, 64, 65, 500, 511, 512, 513, 4095, 4096, 40_000)]
+    together = split_words([b" ".join(words)], jaccard.IN_WORD).hashes.tolist()
+    assert together == [int(split_words([w], jaccard.IN_WORD).hashes[0]) for w in words] and len(set(together)) == len(words)
