@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from curalith.llm.common import releasing, text_chunks
 
 BUCKETS = 1 << 17
+#: Words of a text that are labelled in steps of one word; longer texts are cut and chained.
+PIECE_WORDS = 256
 #: Cost of a change of language, in nats, and the weight of a trigram that was never seen.
 PENALTY, SMOOTHING = 20.0, 0.05
 #: A language is written in a script that has this share of its training letters.
@@ -184,45 +186,83 @@ class Model:
         return names, share, self._spans(g, path, owner, len(texts))
 
     def _viterbi(self, scores: np.ndarray, text_first: np.ndarray) -> np.ndarray:
-        """Best label of each word, all texts side by side.
+        """The best label of each word, all texts side by side.
 
-        A best path changes only where the words' own best language changes: within a run of
-        words that prefer one language, a change to it pays from the run's first word and one
-        from it after the last. So runs are summed first, and the steps are over runs.
+        A text longer than :data:`PIECE_WORDS` is cut into pieces, so that it does not make as
+        many steps as it has words. A later piece is tried from every language that may be in
+        force before it; these results are chained, and each piece is then labelled from the
+        language that the best chain has there. So the path is the best one for whole texts.
         """
-        own = scores.argmax(axis=1)
-        begin = np.ones(len(own), bool)
-        begin[1:] = own[1:] != own[:-1]
-        begin[text_first[:-1][text_first[:-1] < len(own)]] = True
-        run_first = np.flatnonzero(begin)
-        runs = np.add.reduceat(scores, run_first, axis=0)
-        first = np.searchsorted(run_first, text_first)
-        count = np.diff(first)
-        order = np.argsort(-count, kind="stable")
-        order = order[count[order] > 0]
-        start, sizes = first[:-1][order], count[order]
-        value = runs[start] + self.prior
-        stay = np.ones(runs.shape, bool)
-        came = np.zeros(len(runs), np.int32)
-        active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right") if len(sizes) else np.empty(0, np.int64)
+        n_lang, count = scores.shape[1], np.diff(text_first)
+        pieces = -(-count // PIECE_WORDS)
+        first = np.cumsum(pieces) - pieces
+        owner = np.repeat(np.arange(len(count)), pieces)
+        number = np.arange(len(owner)) - first[owner]
+        start = text_first[owner] + number * PIECE_WORDS
+        size = np.minimum(count[owner] - number * PIECE_WORDS, PIECE_WORDS)
+        entering = np.where(np.eye(n_lang, dtype=bool), 0.0, -self.penalty)
+        before = np.zeros(len(owner), np.int64)  # language in force before a later piece
+        final = np.full(len(owner), -1, np.int64)  # label at a piece's end, where the next piece fixes it
+        long = np.flatnonzero(pieces > 1)
+        if len(long):
+            tried = np.flatnonzero(pieces[owner] > 1)
+            rows = np.repeat(tried, n_lang)
+            init = np.where((number[rows] > 0)[:, None], np.tile(entering, (len(tried), 1)), self.prior)
+            ends = np.empty((len(owner), n_lang, n_lang))
+            ends[tried] = self._forward(scores, start[rows], size[rows], init).reshape(-1, n_lang, n_lang)
+            came = np.zeros((len(owner), n_lang), np.int64)
+            value = ends[first[long], 0]
+            for k in range(1, int(pieces.max())):
+                more = np.flatnonzero(pieces[long] > k)
+                at = first[long[more]] + k
+                through = value[more][:, :, None] + ends[at]
+                came[at] = through.argmax(axis=1)
+                value[more] = through.max(axis=1)
+            label = value.argmax(axis=1)
+            for k in range(int(pieces.max()) - 1, 0, -1):
+                more = np.flatnonzero(pieces[long] > k)
+                at = first[long[more]] + k
+                final[at], before[at] = label[more], came[at, label[more]]
+                label[more] = before[at]
+            final[first[long]] = label
+        init = np.where((number > 0)[:, None], entering[before], self.prior)
+        return self._labels(scores, start, size, init, final)
+
+    def _forward(self, scores: np.ndarray, start: np.ndarray, size: np.ndarray, init: np.ndarray, trace: tuple | None = None) -> np.ndarray:
+        """Best value of ending a piece in each language; ``trace`` takes, per word, which languages
+        stay and where those that do not come from."""
+        order = np.argsort(-size, kind="stable")
+        begin, active = start[order], np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        value = scores[begin] + init[order]
         for t in range(1, len(active)):
             n = active[t]
-            at = start[:n] + t
-            v = value[:n]
+            at, v = begin[:n] + t, value[:n]
             best = v.argmax(axis=1)
             change = v[np.arange(n), best][:, None] - self.penalty
             keep = v >= change
-            stay[at], came[at] = keep, best
-            value[:n] = np.where(keep, v, change) + runs[at]
-        label = value.argmax(axis=1)
-        out = np.zeros(len(runs), np.int64)
+            if trace:
+                trace[0][at], trace[1][at] = keep, best
+            value[:n] = np.where(keep, v, change) + scores[at]
+        out = np.empty_like(value)
+        out[order] = value
+        return out
+
+    def _labels(self, scores: np.ndarray, start: np.ndarray, size: np.ndarray, init: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """The label of each word, from each piece's end (the best one where ``final`` is -1) back."""
+        trace = np.ones(scores.shape, bool), np.zeros(len(scores), np.int32)
+        value = self._forward(scores, start, size, init, trace)
+        label = np.where(final < 0, value.argmax(axis=1), final)
+        order = np.argsort(-size, kind="stable")
+        begin, label = start[order], label[order]
+        active = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+        out = np.zeros(len(scores), np.int64)
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
-            at = start[:n] + t
+            at = begin[:n] + t
             out[at] = label[:n]
-            kept = stay[at, label[:n]]
-            label[:n] = np.where(kept, label[:n], came[at])
-        return np.repeat(out, np.diff(np.append(run_first, len(own))))
+            if t:
+                label[:n] = np.where(trace[0][at, label[:n]], label[:n], trace[1][at])
+        return out
 
     def _spans(self, g: WordGrams, path: np.ndarray, owner: np.ndarray, n: int) -> list[list[dict]]:
         begin = np.ones(len(path), bool)

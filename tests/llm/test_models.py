@@ -181,3 +181,34 @@ def test_languages_of_odd_rows(odd, none):
     assert all(r["held_out"] is not None for r in rows)
     assert langid.identified(none).collect() == []
     assert {r["lang_pred"] for r in langid.predicted(odd, langid.fit(odd.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
+
+
+def path_value(scores, prior, penalty, path):
+    return prior[path[0]] + scores[np.arange(len(path)), path].sum() - penalty * np.count_nonzero(path[1:] != path[:-1])
+
+
+def best_value(scores, prior, penalty):
+    """Value of the best path, word by word over all pairs of languages."""
+    value = prior + scores[0]
+    cost = penalty * (1 - np.eye(len(prior)))
+    for row in scores[1:]:
+        value = (value[:, None] - cost).max(axis=0) + row
+    return value.max()
+
+
+def test_viterbi_at_the_queries_penalty_and_over_pieces():
+    """Texts of one word up to several pieces, side by side; and a change between two words that prefer a third language."""
+    r = np.random.default_rng(5)
+    for penalty, scale in ((20.0, 3.0), (20.0, 30.0), (0.5, 1.0)):
+        sizes = [1, 3, 0, langid.PIECE_WORDS, langid.PIECE_WORDS + 1, 5 * langid.PIECE_WORDS - 7, 2, 2 * langid.PIECE_WORDS, 700]
+        scores = r.normal(0, scale, (sum(sizes), 4)) + np.repeat(r.normal(0, scale, (sum(sizes) // 10 + 1, 4)), 10, axis=0)[: sum(sizes)]
+        first = np.cumsum([0, *sizes])
+        model = langid.Model(list("abcd"), None, None, r.normal(0, 2, 4), penalty)
+        path = model._viterbi(scores, first)
+        for a, b in zip(first, first[1:]):
+            if b > a:
+                assert path_value(scores[a:b], model.prior, penalty, path[a:b]) == pytest.approx(best_value(scores[a:b], model.prior, penalty))
+    scores = np.array([[-9.0, 0, -9]] * 10 + [[0.0, -1, -3], [0, -3, -1]] + [[-9.0, -9, 0]] * 10)
+    model = langid.Model(list("lab"), None, None, np.zeros(3), 20.0)
+    path = model._viterbi(scores, np.array([0, len(scores)]))
+    assert path_value(scores, model.prior, 20.0, path) == -22 and path[10] != path[11]
