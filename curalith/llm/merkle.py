@@ -1,9 +1,10 @@
 """Document fingerprints: Merkle trees over leaves, paragraphs and sections.
 
-A paragraph ends with a line break. A leaf is a run of words of a paragraph, up to the
-eighth blank; leaves cover every byte. A paragraph's digest is made of its leaves', a
+A paragraph ends with a line break. A leaf is a run of words of a paragraph, up to a blank
+after a word whose hash is divisible by eight; leaves cover every byte. A paragraph's digest is made of its leaves', a
 section's of its paragraphs', the root of the sections'. A section ends with an empty
-paragraph or one whose digest is divisible by eight, so an edit moves no later border.
+paragraph or one whose digest is divisible by eight. So borders follow from what stands at
+them, and an edit, also an added or deleted word, moves none of the others.
 Equal roots mean equal texts: the root also holds the SHA-256 of the text. Where roots
 differ, the differing branches name the sections, paragraphs and leaves that changed.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from curalith.llm.common import CHUNK_CHARS, batch_of, partitions_for, range_of, releasing, split_points
 from curalith.llm.words import byte_hashes, mix
 
-LEAF_BLANKS = 8
+LEAF_EVERY = 8
 SECTION_EVERY = 8
 
 
@@ -54,12 +55,9 @@ def leaves_of(texts: list[bytes]) -> Leaves:
     """Leaves of each text in order; an empty text has one empty leaf."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     line = data == 10
-    blank = data == 32
-    blanks = np.cumsum(blank)
-    line_at = np.flatnonzero(line)
-    # Blanks before the paragraph that a byte belongs to.
-    base = np.concatenate([[0], blanks[line_at]])[np.concatenate([[0], np.cumsum(line)[:-1]])] if len(data) else blanks
-    cut = np.flatnonzero(line | (blank & ((blanks - base) % LEAF_BLANKS == 0)))
+    stop = np.flatnonzero(line | (data == 32))
+    word = byte_hashes(data, np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop, stop)
+    cut = stop[line[stop] | (word % np.uint64(LEAF_EVERY) == 0)]
     ends = cut + 1
     starts = np.concatenate([[0], ends[:-1]])
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])

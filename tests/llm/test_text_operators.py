@@ -179,3 +179,14 @@ def test_differing_branches_locate_an_edit():
     assert len(ranges) == 1 and ranges[0][0] <= place < ranges[0][1]
     assert sum(a != b for a, b in zip(old.paragraphs, new.paragraphs)) == 1
     assert merkle.differing(old, merkle.tree(text)) == []
+
+
+def test_an_added_or_deleted_word_changes_only_its_leaf():
+    """Borders of leaves follow from the words at them, however long the paragraph."""
+    own = [f"w{i}" for i in range(400)]
+    old = " ".join(own)
+    for new in (" ".join(["extra", *own]), " ".join(own[:200] + own[201:]), old + " more"):
+        a, b = (merkle.leaves_of([t.encode()]) for t in (old, new))
+        assert merkle.likeness(a, b, [(0, 0)])[0] > 0.9
+        changed = merkle.differing(merkle.tree(old), merkle.tree(new))
+        assert len(changed) <= 2 and (changed == [] or changed[0][1] - changed[0][0] < 400)
