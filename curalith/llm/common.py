@@ -20,6 +20,8 @@ from curalith.session import ensure_checkpoint_dir
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Characters of text that a Python worker turns into arrays at one time.
 CHUNK_CHARS = 1_000_000
+#: Bytes of an Arrow batch, which both the JVM and the worker hold.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -37,7 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Hands Python a few megabytes of texts at a time instead of Spark's default of 64, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    smaller_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalith.llm.common import batch_of, releasing, stored, text_chunks
-from curalith.llm.tokens import tokenizer
+from curalith.llm.tokens import release, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                         for column, value in zip(held, (name, k, start, len(part), zlib.crc32(part.tobytes()))):
                             column.append(value)
                 yield batch_of(_PIECES, *held)
-        coder.forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, PIECES)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from curalith.llm import idcodec
 from curalith.llm.common import batch_of, partitions_for, range_of, releasing, scratch_dir, split_points, stored, text_chunks
-from curalith.llm.tokens import tokenizer, vocabulary_size
+from curalith.llm.tokens import release, tokenizer, vocabulary_size
 
 #: Ids in a block; a document with more is a block of its own.
 BLOCK_IDS = 500_000
@@ -67,7 +67,7 @@ def coded(docs: DataFrame, tokenizer_path: str, points: np.ndarray, end_id: int)
                 parts = [0 if x is None else int(np.searchsorted(points, x, side="right")) for x in own]
                 arrays = [pa.array(c, t.type) for c, t in zip((parts, own, lengths + 1), schema)]
                 yield pa.RecordBatch.from_arrays([*arrays, ids, pa.nulls(len(own), schema.field("counts").type)], schema=schema)
-        coder.forget()
+        release()
         met = np.flatnonzero(total)
         yield batch_of(schema, [None], [None], [0], [None], [[{"id": i, "n": n} for i, n in zip(met.tolist(), total[met].tolist())]])
 

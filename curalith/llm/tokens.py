@@ -137,13 +137,17 @@ _LOADED: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer for a file; a task that ends lets it forget its words, so as not
-    to hold memory while the worker serves other stages."""
+    """The worker's tokenizer for a file; :func:`release` lets it go at a task's end."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
 
 
+def release() -> None:
+    """Lets tokenizers and their words go, so as not to hold memory while the worker serves other stages."""
+    _LOADED.clear()
+
+
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
