@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalith.llm.common import batch_of, releasing, stored, text_chunks
-from curalith.llm.tokens import release, tokenizer
+from curalith.llm.tokens import SLICE_BYTES, release, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         coder = tokenizer(tokenizer_path)
         for batch in batches:
             names = batch.column("doc_id")
-            for first, texts in text_chunks(batch):
+            for first, texts in text_chunks(batch, limit=SLICE_BYTES):
                 ids, counts = coder.encode(texts)
                 held: tuple[list, ...] = ([], [], [], [], [])
                 at = 0

@@ -82,7 +82,7 @@ def term_counts(docs: DataFrame, index: Index) -> DataFrame:
         for batch in batches:
             for first, texts in text_chunks(batch):
                 words = split_words(texts, IN_TERM)
-                found = pc.index_in(word_bytes(words), value_set=terms)
+                found = pc.index_in(word_bytes(words, IN_TERM), value_set=terms)
                 ours = found.is_valid().to_numpy(zero_copy_only=False)
                 key = words.owner()[ours] * len(terms) + found.drop_null().to_numpy().astype(np.int64)
                 key, counts = np.unique(key, return_counts=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from curalith.llm import idcodec
 from curalith.llm.common import batch_of, partitions_for, range_of, releasing, scratch_dir, split_points, stored, text_chunks
-from curalith.llm.tokens import release, tokenizer, vocabulary_size
+from curalith.llm.tokens import SLICE_BYTES, release, tokenizer, vocabulary_size
 
 #: Ids in a block; a document with more is a block of its own.
 BLOCK_IDS = 500_000
@@ -48,7 +48,7 @@ def coded(docs: DataFrame, tokenizer_path: str, points: np.ndarray, end_id: int)
         coder, total = tokenizer(tokenizer_path), np.zeros(1 << 16, np.int64)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for first, texts in text_chunks(batch):
+            for first, texts in text_chunks(batch, limit=SLICE_BYTES):
                 found, lengths = coder.encode(texts)
                 seen = np.bincount(found)
                 if len(seen) > len(total):

@@ -13,6 +13,8 @@ from curalith.llm.words import byte_class, split_words, word_bytes
 
 #: A worker forgets its words beyond these sizes, which bounds its memory.
 CACHED_WORDS, CACHED_CHARS = 500_000, 8_000_000
+#: Bytes of text encoded at one time: larger slices have fewer distinct words.
+SLICE_BYTES = 4_000_000
 #: Words encoded in one call.
 CALL_WORDS = 2000
 _IN_WORD = byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -42,15 +44,18 @@ class WordTokenizer:
         self.folds = ids("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == ids("abcdefghijklmnopqrstuvwxyz")
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.letters = Tokenizer(self.library.model)
+        # ASCII letters are what they are among a byte-level model's characters, so they need no mapping.
+        self.plain, self.letters = Tokenizer(self.library.model), Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if suffix:
             self.ends[[n for token, n in self.library.get_vocab().items() if token.endswith(suffix) and n < len(self.ends)]] = True
-        sample = ["the", "thou", "straße", "élan", "zq"]
+        sample = ["the", "thou", "zq", "straße", "élan"]
         self.parts = bool(
             suffix
             and ids("ab12%&x") == [i for p in ("ab", "1", "2", "%&", "x") for i in ids(p)]
             and self.letters.encode(" ".join(sample), add_special_tokens=False).ids == [i for w in sample for i in ids(w)]
+            and self.plain.encode(" ".join(sample[:3]), add_special_tokens=False).ids == [i for w in sample[:3] for i in ids(w)]
         )
         self.forget()
 
@@ -71,10 +76,13 @@ class WordTokenizer:
             pieces = {p for _, own in composed for p in own}.difference(known, letters, others)
             letters += [p for p in pieces if _LETTERS.match(p)]
             others = [w for w in {*others, *pieces}.difference(letters, (w for w, _ in composed))]
-        for k in range(0, len(letters), CALL_WORDS):
-            own = letters[k : k + CALL_WORDS]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
-            self._add(own, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        plain = [w for w in letters if w.isascii()]
+        mapped = [w for w in letters if not w.isascii()] if len(plain) < len(letters) else []
+        for coder, words in ((self.plain, plain), (self.letters, mapped)):
+            for k in range(0, len(words), CALL_WORDS):
+                own = words[k : k + CALL_WORDS]
+                ids = np.array(coder.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+                self._add(own, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
         for k in range(0, len(others), CALL_WORDS):
             self._add(others[k : k + CALL_WORDS], *self._encode_words(others[k : k + CALL_WORDS]))
         if composed:
@@ -112,7 +120,7 @@ class WordTokenizer:
         # A-Z may be folded beforehand unless the text may hold a special token's name.
         raw = [(t.encode().lower() if self.folds and "<|" not in t else t.encode()) for t in texts]
         words = split_words(raw, _IN_WORD, fold=False)
-        coded = word_bytes(words).dictionary_encode()
+        coded = word_bytes(words, _IN_WORD).dictionary_encode()
         # The distinct words as one text, which is split faster than an array is taken apart.
         joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(b" ", pa.large_binary()))
         distinct = joined[0].as_py().decode().split(" ") if len(coded.dictionary) else []
