@@ -28,7 +28,7 @@ def temporal_join(
     tolerance_seconds: float | None = None,
     direction: str = "backward",
     join_type: str = "left_outer",
-    bucket_seconds: int = 3_600,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Each primary row with the nearest secondary row of its keys.
 
@@ -38,9 +38,9 @@ def temporal_join(
     ``tie_by`` names a column of both sides that tells rows at one time apart.
 
     Both sides are laid into one ordered stream and the last secondary row is carried
-    along it, so no pairs are formed. Time buckets split a key of any size; what one key
-    holds within ``bucket_seconds`` is the work of one task. Times without a zone are
-    compared in the session's, which should then have no summer time (UTC).
+    along it, so no pairs are formed. Even ranges of (keys, time, tie) split a key of any size;
+    buckets of ``bucket_seconds`` do so without the ranges' sampling job. Times without a zone
+    are compared in the session's, which should then have no summer time (UTC).
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
@@ -71,7 +71,7 @@ def temporal_join(
     )
     names = [f"__k{i}" for i in range(len(keys))]
     stream = p.unionByName(s, allowMissingColumns=True)
-    bucket = F.floor(F.col("__at") / F.lit(bucket_seconds * 1_000_000))
+    bucket = F.floor(F.col("__at") / F.lit(bucket_seconds * 1_000_000)) if bucket_seconds else None
 
     def carried(df: DataFrame, name: str, backwards: bool) -> DataFrame:
         # At one time the secondary rows come before the primary ones in the running order.

@@ -1,10 +1,11 @@
 """Running values over ordered groups of any size.
 
-A window over a group runs in one task, however large the group. Here each group is
-cut into buckets that follow its order (hours, say, of a time). A small summary
-with one row per bucket yields what each bucket inherits from those before it; that
-carry enters the bucket as its first row, and one window per (group, bucket) does the
-rest. The rows move once, and a hot group spreads over as many tasks as it has buckets.
+A window over a group runs in one task, however large the group. Here the rows are cut into
+even ranges of (group, order), whatever their types: the bounds come from a uniform sample of
+bounded size. A small summary with one row per range of a group yields what each range inherits
+from those before it; that carry enters the range as its first row, and one window per
+(group, range) does the rest. The rows move once, and a hot group spreads over as many tasks
+as it has ranges.
 """
 
 from __future__ import annotations
@@ -18,20 +19,57 @@ from pyspark.sql import types as T
 from curalith.operators.project import column
 
 _BUCKET, _VALUE, _ROW = "__bucket", "__value", "__is_row"
+#: Ranges for each shuffle partition, and sampled rows for each range.
+RANGES_PER_PARTITION, SAMPLE_PER_RANGE = 2, 40
 
 
-def default_bucket(df: DataFrame, leading: str) -> Column:
-    """Hours of a time, days, or runs of 2**16 whole numbers. Anything else stays in one
-    bucket. Pass a bucket of your own, non-decreasing in the order, where that is too
-    coarse for the largest group: one bucket of a group is the work of one task."""
-    of_type = df.schema[leading].dataType
-    if isinstance(of_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", column(leading))
+def _sortable(df: DataFrame, name: str) -> Column | None:
+    """A column that orders as ``name`` does and whose values can be written as literals; None if there is none."""
+    of_type, c = df.schema[name].dataType, column(name)
+    if isinstance(of_type, T.TimestampType):
+        return F.unix_micros(c)
     if isinstance(of_type, T.DateType):
-        return column(leading)
-    if isinstance(of_type, (T.LongType, T.IntegerType, T.ShortType)):
-        return F.shiftright(column(leading), 16)
-    return F.lit(0)
+        return F.unix_date(c)
+    if isinstance(of_type, T.TimestampNTZType):
+        seconds = (F.unix_date(F.to_date(c)).cast("bigint") * 24 + F.hour(c)) * 3600 + F.minute(c) * 60
+        return seconds + F.date_part(F.lit("SECOND"), c)
+    if isinstance(of_type, T.BinaryType):
+        return F.hex(c)
+    return c if isinstance(of_type, (T.NumericType, T.StringType, T.BooleanType)) else None
+
+
+def range_number(df: DataFrame, names: Sequence[str]) -> Column:
+    """Number of the range of ``names`` that a row lies in, non-decreasing in their order (nulls first).
+
+    One job reads the named columns and keeps a uniform sample, which alone reaches the
+    driver. A column of a type without literals ends the ranges' key: rows that differ only
+    from there on share a range. A row finds its range by bisection.
+    """
+    keys: list[Column] = []
+    for name in names:
+        key = _sortable(df, name)
+        if key is None:
+            break
+        keys.append(key)
+    ranges = RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys or ranges < 2:
+        return F.lit(0)
+    fields = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    drawn = df.select(*fields).orderBy(F.rand(11)).limit(SAMPLE_PER_RANGE * ranges)
+    sample = drawn.orderBy(*(f"k{i}" for i in range(len(keys)))).collect()
+    cuts = list(dict.fromkeys(tuple(sample[k * len(sample) // ranges]) for k in range(1, ranges))) if sample else []
+    kinds = [f.dataType for f in drawn.schema.fields]
+    own = F.struct(*fields)
+
+    def place(low: int, high: int) -> Column:
+        """How many cuts from ``low`` to ``high`` are at most the row's key, and ``low``."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        bound = F.struct(*(F.lit(v).cast(kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(cuts[middle], kinds))))
+        return F.when(own >= bound, place(middle + 1, high)).otherwise(place(low, middle))
+
+    return place(0, len(cuts))
 
 
 def prefix_scan(
@@ -49,9 +87,10 @@ def prefix_scan(
     """Add ``name``: the running ``sum``, ``max`` or ``last`` (non-null) of ``value``.
 
     ``order_by`` must tell the rows of a group apart. ``inclusive=False`` leaves the row
-    itself out. With ``descending`` the order, and the buckets, run backwards.
+    itself out. With ``descending`` the order, and the ranges, run backwards. A ``bucket`` of
+    one's own, non-decreasing in the order, spares the sampling job.
     """
-    bucket = default_bucket(df, order_by[0]) if bucket is None else bucket
+    bucket = range_number(df, [*partition_by, *order_by]) if bucket is None else bucket
     groups = [column(c) for c in partition_by]
     tagged = df.withColumns({_BUCKET: bucket, _VALUE: value, _ROW: F.lit(1)})
     within = [column(c).desc() if descending else column(c).asc() for c in order_by]

@@ -67,6 +67,39 @@ def test_groups_are_split_by_bucket(stream):
     assert "hashpartitioning(g" in text and "__bucket" in text
 
 
+@pytest.mark.parametrize("how", ["sum", "max", "last"])
+@pytest.mark.parametrize("order", [["at", "i"], ["name", "i"], ["day", "amount", "i"], ["raw", "i"], ["wall", "i"]])
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranges_split_one_group_of_any_order_type(spark, how, order, descending):
+    """All rows of the group lie in one hour; texts, decimals, dates and bytes order as well as times."""
+    rng = random.Random(4)
+    data = [("hot" if i % 9 else None, rng.choice([None, *range(3000)]), i, rng.choice([None, rng.randint(0, 50)])) for i in range(1500)]
+    df = spark.createDataFrame(data, "g string, t int, i int, v int").repartition(5)
+    df = df.selectExpr(
+        "*", "timestamp_seconds(1700000000 + t) at", "concat('order ', lpad(t, 5, '0')) name", "date_add(date'2024-01-01', cast(t div 7 as int)) day",
+        "cast(t / 3 as decimal(12, 4)) amount", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, t) wall", "cast(lpad(t, 6, '0') as binary) raw",
+    )
+    number = prefix.range_number(df, ["g", *order])
+    sizes = [r["count"] for r in df.groupBy(number.alias("n")).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 0.4 * len(data)
+    lead = (lambda r: (r[1] is not None, r[1] or 0, r[2])) if order[0] != "day" else (lambda r: (r[1] is not None, (r[1] or 0) // 7, r[1] or 0, r[2]))
+    got = prefix.prefix_scan(df, "out", F.col("v"), how, order_by=order, partition_by=["g"], descending=descending)
+    want = {}
+    for g in ("hot", None):
+        own = sorted((r for r in data if r[0] == g), key=lead, reverse=descending)
+        for n, row in enumerate(own):
+            seen = [r[3] for r in own[: n + 1] if r[3] is not None]
+            want[row[2]] = None if not seen else {"sum": sum(seen), "max": max(seen), "last": seen[-1]}[how]
+    assert {r.i: r.out for r in got.collect()} == want
+
+
+def test_ranges_of_empty_constant_and_unsortable_columns(spark):
+    df = spark.createDataFrame([(1, [2]), (1, [1]), (1, None)], "a int, b array<int>")
+    assert {r.n for r in df.select(prefix.range_number(df, ["b"]).alias("n")).collect()} == {0}
+    assert len({r.n for r in df.select(prefix.range_number(df, ["a", "b"]).alias("n")).collect()}) == 1
+    assert prefix.record_index(df.limit(0), order_by=["a"]).collect() == []
+
+
 def nearest(left, right, direction, tolerance):
     out = {}
     for key, at, i in left:
