@@ -320,3 +320,34 @@ def lineage_many_parents(spark, sf_dir) -> DataFrame:
     )
     curations = runs.where("layer = 'curation'").select(*two.columns)
     return lineage.source_documents(lineage.trace(curations.unionByName(two), "semantic"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT c_custkey AS child, unnest([c_custkey // 2, CASE WHEN c_custkey % 3 = 0 THEN c_custkey // 3 END,
+        CASE WHEN c_custkey = 1 THEN 5 END]) AS parent FROM customer),
+    reach AS (SELECT c_custkey AS root, c_custkey AS run FROM customer WHERE c_mktsegment = 'BUILDING'
+      UNION SELECT root, parent FROM reach JOIN e ON child = run WHERE parent IS NOT NULL)
+    SELECT 'run-' || root AS root_run, 'run-' || run AS run_id, c.c_custkey IS NOT NULL AS found,
+      CASE WHEN c.c_custkey IS NULL THEN NULL WHEN c.c_acctbal < 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+      'doc-' || p_partkey AS doc_id, p_brand || '.csv' AS source, 'raw/' || p_partkey AS path
+    FROM reach LEFT JOIN customer c ON run = c.c_custkey LEFT JOIN part ON p_partkey = run"""
+)
+def lineage_deep(spark, sf_dir) -> DataFrame:
+    """Customers as runs whose parents have half or a third of their number: chains of many
+    lengths that meet, a cycle at the top (1, 5, 2, 1) and a run 0 that no ledger holds.
+    The runs numbered as a part read that part's file."""
+    key = F.col("c_custkey")
+    name = lambda k: F.concat(F.lit("run-"), k.cast("string"))
+    parents = F.array(name(F.expr("c_custkey div 2")), F.when(key % 3 == 0, name(F.expr("c_custkey div 3"))), F.when(key == 1, F.lit("run-5")))
+    runs = table(spark, sf_dir, "customer").select(
+        name(key).alias("run_id"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "retrieval").otherwise("semantic").alias("layer"),
+        parents.alias("parents"),
+        F.when(F.col("c_acctbal") < 0, "FAILED").otherwise("SUCCESS").alias("status"),
+    )
+    part = F.col("p_partkey").cast("string")
+    raw = table(spark, sf_dir, "part").select(
+        name(F.col("p_partkey")).alias("run_id"), F.concat(F.lit("doc-"), part).alias("doc_id"),
+        F.concat("p_brand", F.lit(".csv")).alias("source"), F.concat(F.lit("raw/"), part).alias("path"),
+    )
+    return lineage.sources(lineage.ancestry(runs), runs, raw).drop("depth")

@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Sequence
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curalith.functions.digest import chunks, lane_sums, seal
 
-#: A byte hash needs the whole file in one task; a larger file is an error, not another hash.
-MOST_BYTES = 1 << 30
+#: Bytes of a file that a task holds at one time.
+CHUNK_BYTES = 8 << 20
 
 
-def file_hashes(spark: SparkSession, path: str | Sequence[str], *, how: str = "bytes", most_bytes: int = MOST_BYTES) -> DataFrame:
+def _sha256(path: str) -> str:
+    """Digest of a file's bytes, read chunk by chunk."""
+    if path.startswith("file:"):
+        system, place = pyarrow.fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    else:
+        system, place = pyarrow.fs.FileSystem.from_uri(path)
+    digest = hashlib.sha256()
+    with system.open_input_stream(place) as stream:
+        while chunk := stream.read(CHUNK_BYTES):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def file_hashes(spark: SparkSession, path: str | Sequence[str], *, how: str = "bytes") -> DataFrame:
     """``path, length, content_hash`` of each file.
 
-    ``how="bytes"`` is ``sha256:`` of the bytes, for files of any kind up to ``most_bytes``.
-    ``how="lines"`` is ``lines-sha256:``, a fingerprint of the lines of a text file, which
-    is read in splits at any size. The caller chooses; size changes nothing about a hash.
+    ``how="bytes"`` is ``sha256:`` of the bytes, for files of any kind and size: Spark lists
+    the files and deals them out, and a task streams each of its files through one digest in
+    constant memory. Spark lists no empty files. ``how="lines"`` is ``lines-sha256:``, a fingerprint of the lines of a
+    text file, which is read in splits.
     """
     files = spark.read.format("binaryFile").load(path)
     if how == "bytes":
-        hashed = F.concat(F.lit("sha256:"), F.sha2("content", 256))
-        refusal = F.concat(F.lit("too large for a byte hash, take how='lines': "), F.col("path"))
-        checked = F.when(F.col("length") <= most_bytes, hashed).otherwise(F.raise_error(refusal))
-        return files.select("path", "length", checked.alias("content_hash"))
+
+        @F.pandas_udf("string")
+        def digest(paths: pd.Series) -> pd.Series:
+            return paths.map(lambda p: f"sha256:{_sha256(p)}")
+
+        parts = spark.sparkContext.defaultParallelism
+        listed = files.select("path", "length").repartition(parts, "path")
+        return listed.select("path", "length", digest("path").alias("content_hash"))
     if how != "lines":
         raise ValueError(f"how must be bytes or lines, not {how!r}")
     lines = (

@@ -132,3 +132,24 @@ def test_fingerprints(spark):
     grouped = fingerprint.dataset_fingerprint(df, ["n"], by=["s"])
     assert {r.s: r.record_count for r in grouped.collect()} == {"a": 2, None: 1, "1:a": 1}
     assert rows(fingerprint.dataset_fingerprint(df.limit(0)))[0][0] == 0
+
+
+def test_ancestry_follows_chains_of_any_length_and_ends_in_cycles(spark):
+    """Chains of 0 to 9 hops that meet, a cycle off the chain, a lost parent, nulls and repeated rows."""
+    parents = {"a0": None, "a1": ["a0"], **{f"a{k}": [f"a{k - 1}", None] for k in range(2, 9)}, "c1": ["c2"], "c2": ["c3"], "c3": ["c1", "a2"]}
+    parents |= {"r1": ["a8", "a3"], "r2": ["c1", "lost"], "r3": [], "r4": ["r4"]}
+    data = [(k, "retrieval" if k[0] == "r" else "semantic", v, "SUCCESS") for k, v in parents.items()]
+    runs = spark.createDataFrame([*data, data[0], (None, "retrieval", ["a1"], None)], "run_id string, layer string, parents array<string>, status string")
+    want = {}
+    for root in ("r1", "r2", "r3", "r4"):
+        depth, level = {root: 0}, [root]
+        while level:
+            level = [p for k in level for p in parents.get(k) or [] if p and depth.setdefault(p, depth[k] + 1) == depth[k] + 1 and p != k]
+        want |= {(root, k): (n, k in parents) for k, n in depth.items()}
+    reached = lineage.ancestry(runs)
+    got = reached.collect()
+    assert len(got) == len(want) and {(r.root_run, r.run_id): (r.depth, r.found) for r in got} == want
+    raw = spark.createDataFrame([("a0", "d0", "x.csv", "raw/0"), ("a0", "d1", "y.csv", "raw/1"), ("r3", "d3", "z.csv", "raw/3"), (None, "d", "n.csv", "raw/n")], "run_id string, doc_id string, source string, path string")
+    files = {(r.root_run, r.source, r.status) for r in lineage.sources(reached, runs, raw).where("source is not null").collect()}
+    assert files == {(k, f, "SUCCESS") for k in ("r1", "r2") for f in ("x.csv", "y.csv")} | {("r3", "z.csv", "SUCCESS")}
+    assert lineage.ancestry(runs.limit(0)).collect() == []

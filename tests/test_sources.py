@@ -107,8 +107,19 @@ def test_file_hashes(spark, tmp_path, path):
     assert [r.content_hash for r in files.file_hashes(spark, path).collect()] == [want]
     lines = files.file_hashes(spark, path, how="lines").head()
     assert lines.content_hash.startswith("lines-sha256:") and lines.length == len(TEXT)
-    with pytest.raises(Exception, match="too large for a byte hash"):
-        files.file_hashes(spark, path, most_bytes=10).collect()
+
+
+def test_a_file_beyond_two_gibibytes_has_a_byte_hash(spark, tmp_path):
+    """More than a row of Spark can hold; the name needs no escaping."""
+    big = tmp_path / "a file.bin"
+    with open(big, "wb") as out:
+        out.truncate((2 << 30) + 5)
+    want = hashlib.sha256()
+    for _ in range(256):
+        want.update(bytes(8 << 20))
+    want.update(bytes(5))
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.content_hash) for r in files.file_hashes(spark, str(tmp_path / "*.bin")).collect()}
+    assert got == {"a file.bin": ((2 << 30) + 5, "sha256:" + want.hexdigest())}
 
 
 def test_rows_of_empty_cells_and_positions(spark, tmp_path):
