@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from curalith.llm.words import byte_class, split_words, word_bytes
 
 #: A worker forgets its words beyond these sizes, which bounds its memory.
-CACHED_WORDS, CACHED_CHARS = 500_000, 8_000_000
+CACHED_WORDS, CACHED_CHARS = 250_000, 4_000_000
 #: Bytes of text encoded at one time: larger slices have fewer distinct words.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Words encoded in one call.
 CALL_WORDS = 2000
 _IN_WORD = byte_class((0x20, 0x20), (0x09, 0x0D))
