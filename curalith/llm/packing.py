@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from curalith.llm.common import batch_of, releasing, stored, text_chunks
 from curalith.llm.tokens import SLICE_BYTES, release, tokenizer
 
+#: Words that a worker holds: fewer than it could, as packing ends a pipeline whose stages share the workers.
+MOST_WORDS = 250_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 #: Pieces of one length are ranked in so many separate windows.
@@ -37,10 +40,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     @releasing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(tokenizer_path)
+        coder = tokenizer(tokenizer_path, MOST_WORDS)
         for batch in batches:
             names = batch.column("doc_id")
-            for first, texts in text_chunks(batch, limit=SLICE_BYTES):
+            for first, texts in text_chunks(batch, limit=SLICE_BYTES // 2):
                 ids, counts = coder.encode(texts)
                 held: tuple[list, ...] = ([], [], [], [], [])
                 at = 0

@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 
 from curalith.llm.words import byte_class, split_words, word_bytes
 
-#: A worker forgets its words beyond these sizes, which bounds its memory.
-CACHED_WORDS, CACHED_CHARS = 250_000, 4_000_000
+#: A worker forgets its words beyond so many, and beyond so many characters each on average, which bounds its memory.
+CACHED_WORDS, CACHED_CHARS = 500_000, 16
 #: Bytes of text encoded at one time: larger slices have fewer distinct words.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 #: Words encoded in one call.
 CALL_WORDS = 2000
 _IN_WORD = byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -35,7 +35,8 @@ class WordTokenizer:
     that leave them as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int | None = None):
+        self.most_words = most_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -115,7 +116,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
-        if len(self.numbers) > CACHED_WORDS or self.chars > CACHED_CHARS:
+        most = self.most_words or CACHED_WORDS
+        if len(self.numbers) > most or self.chars > most * CACHED_CHARS:
             self.forget()
         # A-Z may be folded beforehand unless the text may hold a special token's name.
         raw = [(t.encode().lower() if self.folds and "<|" not in t else t.encode()) for t in texts]
@@ -144,10 +146,11 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 _LOADED: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, most_words: int | None = None) -> WordTokenizer:
     """The worker's tokenizer for a file; :func:`release` lets it go at a task's end."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
+    _LOADED[path].most_words = most_words
     return _LOADED[path]
 
 
