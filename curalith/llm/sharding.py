@@ -7,6 +7,7 @@ counts of shards are at most one apart.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curalith.llm.common import partitions_for, releasing, stored
+from curalith.operators.prefix import prefix_scan
 
 BITS = 5
 SHARDS = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
@@ -50,34 +52,56 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A long that orders a column's values: numbers as they are, texts by their first seven bytes."""
+def as_dimension(df: DataFrame, name: str) -> Column:
+    """What a column's values are ordered by: whole numbers, seconds and doubles as such, anything else as text."""
     kind = dict(df.dtypes)[name]
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.col(name).cast("long")
     if kind in ("float", "double") or kind.startswith("decimal"):
-        return F.floor(F.col(name).cast("double") * 1000).cast("long")
+        return F.col(name).cast("double")
     if kind in ("date", "timestamp"):
         return F.unix_timestamp(F.col(name).cast("timestamp"))
-    start = F.substring(F.col(name).cast("string").cast("binary"), 1, 7)
-    return F.conv(F.rpad(F.hex(start), 14, "0"), 16, 10).cast("long")
+    return F.col(name).cast("string")
 
 
-def curve(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:
-    """Index of each row; cells are cut at quantiles, found by one aggregate over all rows.
+def cuts(df: DataFrame, dims: list[str], bits: int) -> list[list]:
+    """Per dimension, the values at which a new cell begins, so that cells hold even shares of all rows.
 
-    Null lies in the first cell. A value that many rows share fills one cell.
+    Numbers are cut at their quantiles by one aggregate. Whole texts are counted by value, and
+    their counts added up in order; the first value of each share is a cut. The driver gets
+    at most ``2 ** bits`` values of a dimension.
     """
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = df.agg(*(F.percentile_approx(d, shares, 10_000).alias(d) for d in dims)).first()
-    points = [np.unique(np.asarray(row[d] or [], np.int64)) for d in dims]
+    n = 1 << bits
+    kinds = dict(df.dtypes)
+    numbers = [d for d in dims if kinds[d] != "string"]
+    shares = [k / n for k in range(1, n)]
+    row = df.agg(*(F.percentile_approx(d, shares, 10_000).alias(d) for d in numbers)).first() if numbers else {}
+    out = {d: sorted(set(row[d] or [])) for d in numbers}
+    for d in dims:
+        if d not in out:
+            counts = df.where(F.col(d).isNotNull()).groupBy(d).agg(F.count("*").alias("rows"))
+            below = prefix_scan(counts, "below", F.col("rows"), "sum", order_by=[d], inclusive=False)
+            total = df.where(F.col(d).isNotNull()).count()
+            first = below.groupBy(F.expr(f"coalesce(below, 0L) * {n} div {max(total, 1)}").alias("cell")).agg(F.min(d).alias("first"))
+            out[d] = sorted((r["first"] for r in first.where("cell > 0").collect()), key=str.encode)
+    return [out[d] for d in dims]
+
+
+def curve(df: DataFrame, dims: list[str], bits: int = BITS) -> Column:
+    """Index of each row along the curve. Null lies in the first cell; a value that many rows share fills one cell."""
+    texts = {k for k, d in enumerate(dims) if dict(df.dtypes)[d] == "string"}
+    points = cuts(df, dims, bits)
 
     @F.pandas_udf("long")
     def index(*values: pd.Series) -> pd.Series:
         cells = np.zeros((len(values[0]), len(points)), np.int64)
         for k, v in enumerate(values):
             known = v.notna().to_numpy()
-            cells[known, k] = np.searchsorted(points[k], v[known].to_numpy(np.int64), side="right")
+            if k in texts:  # as Spark orders texts: by their bytes
+                own = [p.encode() for p in points[k]]
+                cells[known, k] = [bisect.bisect_right(own, t.encode()) for t in v[known]]
+            else:
+                cells[known, k] = np.searchsorted(np.array(points[k], np.float64 if v.dtype.kind == "f" else np.int64), v[known].to_numpy(), side="right")
         return pd.Series(hilbert_index(cells, bits))
 
     return index(*dims)
@@ -124,7 +148,7 @@ def shards(docs: DataFrame, dims: list[str], n: int = 16) -> DataFrame:
     once, for its size and checksum, and never shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    chosen = [as_number(docs, d).alias(f"dim{k}") if d != "size" else F.octet_length(text).cast("long").alias(f"dim{k}") for k, d in enumerate(dims)]
+    chosen = [as_dimension(docs, d).alias(f"dim{k}") if d != "size" else F.octet_length(text).cast("long").alias(f"dim{k}") for k, d in enumerate(dims)]
     narrow = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *chosen), "metadata")
     names = [f"dim{k}" for k in range(len(dims))]
     placed = stored(narrow.withColumn("curve", curve(narrow, names)).drop(*names), "curve")

@@ -117,3 +117,40 @@ def test_repeated_ids_with_other_payloads_and_clashing_columns(spark, none):
     first = {PAGE: 1, PAGE + "own": 5, PAGE + "last": 6}
     assert got == sorted(((i, size[h], digest[h], *(("revisit", first[h]) if first[h] != i else ("response", None))) for i, h in rows), key=repr)
     assert warc.round_trip(pages.limit(0)).collect() == []
+
+
+def plain_hilbert(side):
+    """Cells of a square in the curve's order, drawn quarter by quarter."""
+    if side == 1:
+        return [(0, 0)]
+    half, quarter = side // 2, plain_hilbert(side // 2)
+    return (
+        [(y, x) for x, y in quarter]
+        + [(x, y + half) for x, y in quarter]
+        + [(x + half, y + half) for x, y in quarter]
+        + [(side - 1 - y, half - 1 - x) for x, y in quarter]
+    )
+
+
+def test_the_curve_is_hilberts():
+    """Equal to a recursive drawing up to the exchange of the axes; in three dimensions neighbours touch."""
+    import numpy as np
+
+    cells = np.array([(x, y) for x in range(16) for y in range(16)])
+    order = [tuple(c) for c in cells[np.argsort(sharding.hilbert_index(cells, 4))].tolist()]
+    assert order in (plain_hilbert(16), [(y, x) for x, y in plain_hilbert(16)])
+    cube = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
+    along = cube[np.argsort(sharding.hilbert_index(cube, 3))]
+    assert (np.abs(np.diff(along, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_whole_texts_cut_a_dimension(spark):
+    """Values that share their first bytes lie in cells of their own, in order of their bytes; fractions count."""
+    rows = [(f"https://example.org/{k % 40:02d}", k / 10_000) for k in range(800)] + [(None, None), ("é", -0.5), ("", 2.5)]
+    df = spark.createDataFrame(rows, "url string, x double")
+    url, x = sharding.cuts(df, ["url", "x"], 4)
+    assert len(url) >= 14 and url == sorted(url) and all(u in {r[0] for r in rows} for u in url)
+    assert len(x) == 15 and x[0] < 0.01
+    got = df.select("url", "x", sharding.curve(df, ["url", "x"], 4).alias("at")).collect()
+    assert len({r["at"] for r in got}) > 60
+    assert sharding.cuts(df.limit(0), ["url", "x"], 4) == [[], []]
