@@ -249,3 +249,25 @@ def pk_duplicates(spark, sf_dir) -> DataFrame:
 def record_index(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return prefix.record_index(events, order_by=["ts", "event_id"]).select("event_id", "user_id", "record_index")
+
+
+@query(
+    """WITH r AS (SELECT ['c_acctbal', 'c_nationkey', 'c_name', 'c_absent'][p_partkey % 4 + 1] AS column_name, (p_partkey // 4)::INTEGER AS check_no,
+        ['not_null', 'positive', 'range', 'looks_right'][p_size % 4 + 1] AS "check", CASE WHEN p_size > 5 THEN p_size::DOUBLE END AS lo, p_retailprice::DOUBLE AS hi FROM part),
+    d AS (SELECT 'c_acctbal' AS column_name, c_acctbal::DOUBLE AS v FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey::DOUBLE FROM customer),
+    f AS (SELECT column_name, check_no, "check", count(*) FILTER (WHERE CASE "check" WHEN 'not_null' THEN v IS NULL WHEN 'positive' THEN NOT coalesce(v > 0, false)
+        WHEN 'range' THEN v IS NULL OR v < lo OR v > hi ELSE false END) AS n FROM r JOIN d USING (column_name) GROUP BY ALL
+      UNION ALL SELECT column_name, check_no, "check", (SELECT count(*) FROM customer WHERE "check" IN ('positive', 'range') OR ("check" = 'not_null' AND trim(coalesce(c_name, '')) = ''))
+        FROM r WHERE column_name = 'c_name'
+      UNION ALL SELECT column_name, check_no, "check", CASE WHEN "check" = 'looks_right' THEN 0 ELSE (SELECT count(*) FROM customer) END FROM r WHERE column_name = 'c_absent')
+    SELECT column_name, check_no, "check", n = 0 AS passed, n::BIGINT AS failed_count FROM f"""
+)
+def rules_from_table(spark, sf_dir) -> DataFrame:
+    """As many rules as there are parts, over customers and a column these lack."""
+    name = F.element_at(F.array(*map(F.lit, ("c_acctbal", "c_nationkey", "c_name", "c_absent"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    check = F.element_at(F.array(*map(F.lit, ("not_null", "positive", "range", "looks_right"))), (F.col("p_size") % 4 + 1).cast("int"))
+    rules = table(spark, sf_dir, "part").select(
+        name.alias("column_name"), F.expr("cast(p_partkey div 4 as int)").alias("check_no"), check.alias("check"),
+        F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("min"), F.col("p_retailprice").cast("double").alias("max"),
+    )
+    return quality.report_from_rules(table(spark, sf_dir, "customer"), rules)

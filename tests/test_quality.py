@@ -168,3 +168,25 @@ def test_primary_key_duplicates(spark, broadcast, request):
 def test_a_key_needs_an_order(records):
     with pytest.raises(ValueError, match="order_by"):
         schema_rules.find_violations(records, SCHEMA)
+
+
+def test_rules_as_rows_equal_the_models_report(spark):
+    """Three hundred rules over texts, numbers, NaN and nulls; absent columns fail or are left out."""
+    import random
+
+    r = random.Random(6)
+    data = [(r.choice([None, 1, -2, 30]), r.choice([None, "", " ", "7", "x"]), r.choice([None, float("nan"), 0.5, -3.0])) for _ in range(200)]
+    df = spark.createDataFrame(data, "a int, b string, c double")
+    rules, columns = [], {}
+    for k in range(300):
+        name, check = r.choice(["a", "b", "c", "absent"]), r.choice(["not_null", "positive", "range", "odd"])
+        low, high = r.choice([None, -5.0, 0.0, 7.0]), r.choice([None, 0.0, 8.0, 40.0])
+        own = columns.setdefault(name, [])
+        own.append({"check": check, "params": {"min": low, "max": high}})
+        rules.append((name, len(own), check, low, high))
+    table = spark.createDataFrame([*rules, rules[0], ("a", None, None, None, None)], "column_name string, check_no int, check string, min double, max double")
+    model = {"columns": [{"column_name": n, "quality_checks": c} for n, c in columns.items()]}
+    for missing in ("fail", "skip"):
+        assert rows(quality.report_from_rules(df, table, missing)) == rows(quality.quality_report(df, model, missing))
+    assert quality.report_from_rules(df, table.limit(0)).collect() == []
+    assert {x.failed_count for x in quality.report_from_rules(df.limit(0), table).collect()} == {0}
