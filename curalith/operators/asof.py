@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curalith.operators import joins
 from curalith.operators.joins import PRIMARY, SECONDARY
 from curalith.operators.prefix import prefix_scan
-from curalith.operators.project import column
+from curalith.operators.project import JOIN, column
 
 DIRECTIONS = ("backward", "forward", "nearest")
 
@@ -108,3 +109,53 @@ def temporal_join(
     if join_type == "inner":
         rows = rows.where(F.col("__m").isNotNull())
     return rows.select("__p.*", "__m.*").drop("__at")
+
+
+def nearest_of_each(
+    sources: Sequence[tuple[str, DataFrame]],
+    keys: Sequence[str],
+    *,
+    time: str,
+    tie_by: str,
+    seconds: float | None = None,
+    direction: str = "backward",
+    join_type: str = "left_outer",
+) -> DataFrame:
+    """Each row of the first source with the nearest row of every other, ``(alias, rows)`` each.
+
+    Columns are prefixed by alias. The sources are taken one after the other, each by
+    :func:`temporal_join`. ``__join__`` names the sources that a row has; ``matched`` is false
+    where one is absent.
+    """
+    (first, out), others = sources[0], sources[1:]
+    shown = [f"{name}_{c}" for name, df in sources for c in df.columns if not c.startswith("__")]
+    if len(set(shown)) < len(shown):
+        raise ValueError(f"aliases make columns of one name: {sorted({c for c in shown if shown.count(c) > 1})}")
+    own = [c for c in out.columns if not c.startswith("__")]
+    out, held = out.select(*[column(c) for c in own]), []
+    for _, df in others:
+        # A row found rides along as a struct, under a name that the first source does not have.
+        name = f"found_{len(held)}"
+        while name in own:
+            name += "_"
+        met = temporal_join(
+            out, df, keys=keys, time=time, tie_by=tie_by, tolerance_seconds=seconds, direction=direction, join_type=join_type
+        )
+        fields = [column(f"{SECONDARY}{c}").alias(c) for c in df.columns if not c.startswith("__")]
+        there = column(f"{SECONDARY}{keys[0]}").isNotNull()  # only rows with all keys are found
+        out = met.select(
+            *[column(f"{PRIMARY}{c}").alias(c) for c in [*own, *held]], F.when(there, F.struct(*fields)).alias(name)
+        )
+        held.append(name)
+    has = [F.lit(True), *[F.col(h).isNotNull() for h in held]]
+    text = joins.key_text([column(k) for k in keys])
+    return out.select(
+        *[column(c).alias(f"{first}_{c}") for c in own],
+        *[
+            F.col(h).getField(c).alias(f"{name}_{c}")
+            for h, (name, df) in zip(held, others)
+            for c in df.columns
+            if not c.startswith("__")
+        ],
+        joins.present_sources(join_type, keys, text, [name for name, _ in sources], has).alias(JOIN),
+    )

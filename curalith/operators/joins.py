@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,6 +153,87 @@ def keyed_join(
     return out
 
 
+def key_text(parts: Sequence[Column]) -> Column:
+    """A key as text; one of several parts names the parts it has."""
+    texts = [p.cast("string") for p in parts]
+    return texts[0] if len(texts) == 1 else F.concat_ws(",", *[F.coalesce(t, F.lit("null")) for t in texts])
+
+
+def present_sources(join_type: str, keys: Sequence[str], text: Column, names: Sequence[str], has: Sequence[Column]) -> Column:
+    """``__join__`` of a row that has some of the sources; ``matched`` is false if it lacks one."""
+    present = F.filter(F.array(*[F.when(there, F.lit(name)) for there, name in zip(has, names)]), lambda n: n.isNotNull())
+    return provenance(join_type, ",".join(keys), text, F.when(F.size(present) < len(names), F.lit(False)), present)
+
+
+def join_many(
+    sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str] | str, join_type: str = "inner", *, key_types: str = "error"
+) -> DataFrame:
+    """Join any number of projections, ``(alias, rows)`` each, on keys that all of them have.
+
+    Columns are prefixed by alias. ``inner`` keeps keys that every source has, ``left_outer``
+    all rows of the first source, ``full_outer`` all rows of all. Null keys match nothing and
+    duplicates fan out. ``__join__`` names the sources that a row has; ``matched`` is false
+    where one is absent.
+
+    The sources meet one after the other on the keys of the first, by which the rows already
+    lie, so each source is shuffled once. A full join meets on the distinct keys of all
+    sources, which combine before their shuffle; rows without a key are added as they are.
+    """
+    if join_type not in ("inner", "left_outer", "full_outer"):
+        raise ValueError(f"join_type must be inner, left_outer or full_outer, not {join_type!r}")
+    names = [name for name, _ in sources]
+    if len(sources) < 2 or len(set(names)) < len(names):
+        raise ValueError(f"a join needs two or more sources of different alias, not {names}")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    shown = [f"{name}_{c}" for name, df in sources for c in df.columns if not c.startswith("__")]
+    if len(set(shown)) < len(shown):
+        raise ValueError(f"aliases {names} make columns of one name: {sorted({c for c in shown if shown.count(c) > 1})}")
+    for _, df in sources[1:]:
+        _aligned(sources[0][1], df, keys, key_types)
+    unlike = {k for k in keys if len({_family(df.schema[k].dataType) for _, df in sources}) > 1}
+    spine = [f"__k_{i}" for i in range(len(keys))]
+
+    def own(no: int) -> list[str]:
+        return [f"__k{no}_{i}" for i in range(len(keys))]
+
+    def side(no: int) -> DataFrame:
+        name, df = sources[no]
+        parts = [column(k).cast("string") if k in unlike else column(k) for k in keys]
+        return df.select(
+            *[column(c).alias(f"{name}_{c}") for c in df.columns if not c.startswith("__")],
+            *[p.alias(n) for p, n in zip(parts, own(no))],
+        )
+
+    def without_key(no: int) -> Column:
+        return reduce(lambda a, b: a | b, (F.col(n).isNull() for n in own(no)))
+
+    def meet(left: DataFrame, no: int, at: Sequence[str], how: str) -> DataFrame:
+        right = side(no).where(~without_key(no))
+        return left.join(right, reduce(lambda a, b: a & b, (left[a] == right[b] for a, b in zip(at, own(no)))), how)
+
+    every = range(len(sources))
+    if join_type == "full_outer":
+        held = [side(no).where(~without_key(no)).select(*[F.col(n).alias(k) for n, k in zip(own(no), spine)]) for no in every]
+        out = reduce(DataFrame.unionByName, held).distinct()
+        for no in every:
+            out = meet(out, no, spine, "left_outer")
+        for no in every:
+            out = out.unionByName(side(no).where(without_key(no)).withColumn("__lone", F.lit(no)), allowMissingColumns=True)
+        at = spine
+        has = [~without_key(no) | F.coalesce(F.col("__lone") == no, F.lit(False)) for no in every]
+        loose = ["__lone", *spine]
+    else:
+        out = side(0)
+        for no in every[1:]:
+            out = meet(out, no, own(0), "inner" if join_type == "inner" else "left_outer")
+        at, has, loose = own(0), [F.lit(True), *[~without_key(no) for no in every[1:]]], []
+    # A row that no other can match has its key at its own source.
+    values = [F.coalesce(*[F.col(n) for n in (at[i], *[own(no)[i] for no in every])]) for i in range(len(keys))]
+    return out.withColumn(JOIN, present_sources(join_type, keys, key_text(values), names, has)).drop(
+        *loose, *[n for no in every for n in own(no)]
+    )
+
+
 def join_stats(joined: DataFrame) -> DataFrame:
     """One row: rows out, and how many of them are matches."""
     return joined.agg(
@@ -162,4 +244,4 @@ def join_stats(joined: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["filtered", "join_stats", "keyed_join", "prefix_side", "provenance"]
+__all__ = ["filtered", "join_many", "join_stats", "key_text", "keyed_join", "prefix_side", "present_sources", "provenance"]

@@ -11,7 +11,7 @@ from curalith.functions.digest import LANES
 from curalith.operators import fingerprint
 from curalith.queries.registry import query, table
 from curalith.session import ensure_checkpoint_dir
-from curalith.sources.csv import column_classes, read_inferred_csv, read_typed_csv
+from curalith.sources.csv import column_classes, read_detected_csv, read_inferred_csv, read_typed_csv
 from curalith.sources.files import file_hashes
 from curalith.sources.store import new_id
 from pyspark.sql import types as T
@@ -50,8 +50,10 @@ def typed_cells(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT 'event_id' AS column_name, 1::INTEGER AS cell_class
-    UNION ALL SELECT 'value', 3 UNION ALL SELECT 'event_type', 4 UNION ALL SELECT 'cell', 4 UNION ALL SELECT 'big', 2"""
+    f"""SELECT column_name, max({CLASS_SQL})::INTEGER AS cell_class FROM (
+      SELECT named.n AS column_name, trim(CASE named.n WHEN 'event_id' THEN event_id::VARCHAR WHEN 'value' THEN value::DECIMAL(18,2)::VARCHAR
+        WHEN 'event_type' THEN event_type WHEN 'cell' THEN {CELL_SQL} ELSE '9999999999999999' || (event_id + 1000)::VARCHAR END) AS t
+      FROM events, (VALUES ('event_id'), ('value'), ('event_type'), ('cell'), ('big')) named(n)) GROUP BY column_name"""
 )
 def column_types(spark, sf_dir) -> DataFrame:
     """The column types a CSV of the events would get."""
@@ -203,3 +205,19 @@ def csv_tab_scan(spark, sf_dir) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/curalith/{new_id('tab')}"
     table(spark, sf_dir, "lineitem").select(*shown).write.csv(path, header=True, sep="\t", nullValue="", emptyValue="")
     return read_typed_csv(spark, path, delimiter="\t")
+
+
+@query(
+    """SELECT separator, s_suppkey, s_name || ', "' || separator || '";|' AS label, s_nationkey::BIGINT AS s_nationkey, s_acctbal
+    FROM supplier, (VALUES ('comma'), ('semicolon'), ('tab'), ('bar')) named(separator)"""
+)
+def csv_detected(spark, sf_dir) -> DataFrame:
+    """The suppliers through files of four separators, which the scan finds by itself."""
+    read = []
+    for name, separator in {"comma": ",", "semicolon": ";", "tab": "\t", "bar": "|"}.items():
+        label = F.concat("s_name", F.lit(f', "{name}";|')).alias("label")
+        suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", label, "s_nationkey", "s_acctbal")
+        path = f"{ensure_checkpoint_dir(spark)}/curalith/{new_id('csv')}"
+        suppliers.write.csv(path, header=True, sep=separator, escape='"')
+        read.append(read_detected_csv(spark, path).select(F.lit(name).alias("separator"), "*"))
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])

@@ -3,7 +3,8 @@ from __future__ import annotations
 import pytest
 
 from conftest import rows
-from curalith.operators import joins
+from pyspark.sql import functions as F
+from curalith.operators import asof, joins
 
 LEFT = [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e"), (None, "f")]
 RIGHT = [(1, 10), (1, 11), (2, 20), (4, 40), (None, 50)]
@@ -94,3 +95,48 @@ def test_large_outer_joins_can_split_hot_keys(spark, sides, no_broadcast):
     plan = joins.keyed_join(*sides, "k", "full_outer")._jdf.queryExecution().executedPlan().toString()
     assert "FullOuter" not in plan and "LeftOuter" not in plan
     assert "Inner" in plan and "LeftAnti" in plan
+
+
+def test_many_sources(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(1, 10), (3, 30), (None, 0)], "k bigint, w int")
+    c = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k int, v string")
+
+    def joined(how):
+        df = joins.join_many([("a", a), ("b", b), ("c", c)], "k", how)
+        j = F.col("__join__")
+        return rows(df.select("a_v", "b_w", "c_v", j["key_value"], j["matched"], F.array_join(j["sources"], ",")))
+
+    whole = [(v, 10, w, "1", None, "a,b,c") for v in "xy" for w in "pq"]
+    lone = [("z", None, None, "2", False, "a"), ("n", None, None, None, False, "a")]
+    assert joined("inner") == sorted(whole, key=repr)
+    assert joined("left_outer") == sorted(whole + lone, key=repr)
+    others = [(None, 30, "r", "3", False, "b,c"), (None, 0, None, None, False, "b")]
+    assert joined("full_outer") == sorted(whole + lone + others, key=repr)
+    assert joins.join_many([("a", a), ("c", c.limit(0)), ("b", b)], "k", "full_outer").count() == 6
+    with pytest.raises(ValueError, match="alias"):
+        joins.join_many([("a", a), ("a", b)], "k")
+    with pytest.raises(ValueError, match="one name"):
+        joins.join_many([("a", a.withColumnRenamed("v", "b_w")), ("a_b", b)], "k")
+
+
+@pytest.mark.parametrize(("how", "exchanges"), [("inner", 3), ("left_outer", 3), ("full_outer", 4)])
+def test_many_sources_are_shuffled_once_each(spark, no_broadcast, stored, how, exchanges):
+    sources = [(n, stored(spark.range(200).select(F.col("id").alias("k"), F.lit(n).alias("v")))) for n in "abc"]
+    df = joins.join_many(sources, "k", how)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == exchanges
+    assert df.count() == 200
+
+
+def test_nearest_of_each(spark):
+    at = "timestamp_seconds"
+    a = spark.createDataFrame([(1, 100, 0), (1, 200, 1), (2, 100, 2), (None, 100, 3)], "k int, t int, i int")
+    b = spark.createDataFrame([(1, 90, 0), (1, 195, 1)], "k int, t int, i int")
+    c = spark.createDataFrame([(1, 150, 0), (2, 40, 1)], "k int, t int, i int")
+    sources = [(n, df.selectExpr("k", f"{at}(t) AS t", "i")) for n, df in (("a", a), ("b", b), ("c", c))]
+    got = asof.nearest_of_each(sources, ["k"], time="t", tie_by="i", seconds=50)
+    origin = F.col("__join__")
+    assert rows(got.select("a_i", "b_i", "c_i", origin["matched"], F.array_join(origin["sources"], ","))) == [
+        (0, 0, None, False, "a,b"), (1, 1, 0, None, "a,b,c"), (2, None, None, False, "a"), (3, None, None, False, "a"),
+    ]

@@ -141,3 +141,20 @@ def test_unreadable_reference_data_is_refused(spark, tmp_path):
         (tmp_path / "codes.json").write_text(text)
         with pytest.raises(Exception, match="no reference data"):
             reference.read_reference_data(spark, str(tmp_path / "codes.json")).collect()
+
+
+def test_separator(spark, tmp_path):
+    def detected(text, **options):
+        file = tmp_path / f"s{len(list(tmp_path.iterdir()))}.csv"
+        file.write_text(text)
+        return csv.detect_separator(spark, str(file), **options)
+
+    assert detected("a;b\n1,5;2\n2,5;3\n") == ";"  # commas are not in the header
+    assert detected("a,b;c\n1,2;3\n1;3\n2;4\n") == ";"  # fewer lines have the header's commas
+    assert detected('"a,b,c"\tx\n"1,2,3"\ty\n"say ""a,b"""\tz\n') == "\t"  # quoted ones do not count
+    assert detected('a|b\n"open, and, more|x\n') == "|"
+    assert detected("a,b,c|d\n1,2,3|4\n\n   \n") == ","  # equally consistent: more fields
+    assert detected("one\n1;2\n") == "," and detected("") == "," and detected("a~b\n", candidates=["~"]) == "~"
+    file = tmp_path / "typed.csv"
+    file.write_text('id;text\n1;"a;b"\n2;c\n')
+    assert rows(csv.read_detected_csv(spark, str(file))) == [(1, "a;b"), (2, "c")]
