@@ -190,3 +190,34 @@ def test_rules_as_rows_equal_the_models_report(spark):
         assert rows(quality.report_from_rules(df, table, missing)) == rows(quality.quality_report(df, model, missing))
     assert quality.report_from_rules(df, table.limit(0)).collect() == []
     assert {x.failed_count for x in quality.report_from_rules(df.limit(0), table).collect()} == {0}
+
+
+def test_rules_as_rows_never_meet_the_rows_in_pairs(spark):
+    """As many bounds as rows, some equal to values, crossed, infinite or NaN: no join makes more rows than there are rules."""
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, -0.0, 0.0, *(float(i % 97) / 4 for i in range(2000))]
+    df = spark.createDataFrame([(v, [1]) for v in values], "a double, held array<int>")
+    bounds = [None, nan, inf, -inf, -0.0, 0.0, 3.0, 3.1, 24.0, 99.0]
+    rules = [("a", i, "range", low, high) for i, (low, high) in enumerate((low, high) for low in bounds for high in bounds)]
+    rules += [("a", 100 + i, "range", i / 100, 24 - i / 100) for i in range(1900)]
+    table = spark.createDataFrame([*rules, ("held", 1, "not_null", None, None)], "column_name string, check_no int, check string, min double, max double")
+    report = quality.report_from_rules(df, table)
+    got = {r.check_no: r.failed_count for r in report.where("column_name = 'a'").collect()}
+    numbers = [v for v in values if v is not None and v == v]
+    at_least = lambda v, low: low is None or low == low and v >= low
+    at_most = lambda v, high: high is None or high != high or v <= high
+    assert got == {no: len(values) - sum(at_least(v, low) and at_most(v, high) for v in numbers) for _, no, _, low, high in rules}
+    assert report.count() == len(rules) + 1
+    report.collect()
+    node, most = [report._jdf.queryExecution().executedPlan()], 0
+    while node:
+        plan = node.pop()
+        if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            node.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            node.append(plan.plan())
+        node += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert "CartesianProduct" not in report._jdf.queryExecution().toString()
+    assert most <= 2 * len(rules)
