@@ -129,6 +129,34 @@ def test_many_sources_are_shuffled_once_each(spark, no_broadcast, stored, how, e
     assert df.count() == 200
 
 
+@pytest.mark.parametrize("how", ["inner", "left_outer", "full_outer"])
+def test_keys_that_many_sources_share_are_cut_into_cells(spark, monkeypatch, how):
+    """Three keys of which two make most rows, equal rows, keys that a source lacks, rows without a key."""
+    a = spark.createDataFrame([(k, i % 7) for k, n in ((1, 30), (2, 9), (3, 1), (None, 2), (4, 40)) for i in range(n)], "k int, v int")
+    b = spark.createDataFrame([(k, f"w{i}") for k, n in ((1, 25), (2, 20), (5, 50), (None, 1)) for i in range(n)], "k bigint, w string")
+    c = spark.createDataFrame([(k, [i]) for k, n in ((1, 2), (3, 3), (4, 30), (2, 1)) for i in range(n)], "k int, x array<int>")
+    sources = [("a", a), ("b", b), ("c", c)]
+
+    def joined():
+        df = joins.join_many(sources, "k", how)
+        assert not {"__cell", "__held", "__parts"} & set(df.columns)
+        return rows(df)
+
+    whole = joined()
+    for cell_rows in (4, 40, 400):
+        monkeypatch.setattr(joins, "CELL_ROWS", cell_rows)
+        assert joined() == whole
+
+
+def test_the_rows_of_one_key_are_made_in_many_tasks(spark):
+    a = spark.range(1000).selectExpr("1 AS k", "id AS v")
+    b = spark.range(1000).selectExpr("1 AS k", "id AS w")
+    for how in ("inner", "left_outer", "full_outer"):
+        parts = joins.join_many([("a", a), ("b", b)], "k", how).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(p["count"] for p in parts) == 1_000_000
+        assert max(p["count"] for p in parts) < 800_000
+
+
 def test_nearest_of_each(spark):
     at = "timestamp_seconds"
     a = spark.createDataFrame([(1, 100, 0), (1, 200, 1), (2, 100, 2), (None, 100, 3)], "k int, t int, i int")
