@@ -153,3 +153,13 @@ def test_ancestry_follows_chains_of_any_length_and_ends_in_cycles(spark):
     files = {(r.root_run, r.source, r.status) for r in lineage.sources(reached, runs, raw).where("source is not null").collect()}
     assert files == {(k, f, "SUCCESS") for k in ("r1", "r2") for f in ("x.csv", "y.csv")} | {("r3", "z.csv", "SUCCESS")}
     assert lineage.ancestry(runs.limit(0)).collect() == []
+
+
+def test_an_ancestry_broadcasts_nothing(spark, stored):
+    """What is broadcast goes through the driver, again on each level."""
+    runs = stored(spark.range(64).selectExpr("concat('r', id) AS run_id", "'retrieval' AS layer", "array(concat('r', id div 2)) AS parents", "'SUCCESS' AS status"))
+    raw = stored(spark.range(64).selectExpr("concat('r', id) AS run_id", "'d' AS doc_id", "'f' AS source", "'p' AS path"))
+    found = lineage.sources(lineage.ancestry(runs), runs, raw)
+    assert found.count() == sum(i.bit_length() + 1 for i in range(64))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
