@@ -212,3 +212,28 @@ def test_viterbi_at_the_queries_penalty_and_over_pieces():
     model = langid.Model(list("lab"), None, None, np.zeros(3), 20.0)
     path = model._viterbi(scores, np.array([0, len(scores)]))
     assert path_value(scores, model.prior, 20.0, path) == -22 and path[10] != path[11]
+
+
+def test_characters_that_share_a_symbol_are_told_apart():
+    """Beyond the most frequent characters, too: each symbol's characters share its probability."""
+    chars = {ord(c): 1000 - i for i, c in enumerate(map(chr, range(0x4E00, 0x4E00 + 300)))} | {ord("%"): 3, ord("7"): 9}
+    letters = quality.alphabet(chars)
+    table = quality.spellings(chars, letters)
+    rare, rarer, unmet = 0x4E00 + 100, 0x4E00 + 299, 0x4E00 + 500
+    assert {letters[c] for c in (rare, rarer, unmet)} == {quality.LETTER}
+    assert table[rare] > table[rarer] > table[unmet]
+    assert table[0x4E00] == table[ord("7")] == table[-1] == 0
+    for symbol in (quality.LETTER, quality.OTHER):
+        met = [c for c in chars if letters[c] == symbol]
+        assert np.exp(table[met].astype(float)).sum() + len(met) * quality.UNSEEN / sum(chars[c] for c in met) == pytest.approx(1, abs=1e-4)
+    few = {c: 5 for c in map(ord, "abc")}
+    assert not quality.spellings(few, quality.alphabet(few)).any()
+
+
+def test_a_text_of_unmet_characters_scores_worse(spark):
+    """Trusted texts of many letters: the same letters in the same order against letters that no trusted text has."""
+    own = [chr(0x4E00 + i % 300) for i in range(3000)]
+    model = quality.fit(spark.createDataFrame([("".join(own),)], "text string"))
+    known, unmet = "".join(own[100:160]), "".join(chr(0x4E00 + 1000 + i) for i in range(100, 160))
+    assert (model.letters[[ord(c) for c in known]] == quality.LETTER).all() and (model.letters[[ord(c) for c in unmet]] == quality.LETTER).all()
+    assert model.log_perplexity([unmet])[0] > model.log_perplexity([known])[0] + 1
