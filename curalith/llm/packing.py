@@ -24,6 +24,8 @@ from curalith.llm.tokens import SLICE_BYTES, release, tokenizer
 
 #: Words that a worker holds: fewer than it could, as packing ends a pipeline whose stages share the workers.
 MOST_WORDS = 250_000
+#: Bytes of text that a worker cuts at one time, for the same reason.
+CUT_BYTES = SLICE_BYTES // 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -43,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         coder = tokenizer(tokenizer_path, MOST_WORDS)
         for batch in batches:
             names = batch.column("doc_id")
-            for first, texts in text_chunks(batch, limit=SLICE_BYTES // 2):
+            for first, texts in text_chunks(batch, limit=CUT_BYTES):
                 ids, counts = coder.encode(texts)
                 held: tuple[list, ...] = ([], [], [], [], [])
                 at = 0
