@@ -32,25 +32,20 @@ def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
     lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = lengths - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    most = int(lengths.max(initial=1))
-    used = np.arange(most, dtype=np.uint8) < lengths[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :most][used].tobytes()
+    control = padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    used = np.arange(4, dtype=np.uint8) < lengths[:, None]
+    return control.tobytes(), np.extract(used, ranks.view(np.uint8)).tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` ranks of :func:`encode`."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    ends = np.cumsum(lengths)
-    if len(ends) != n or (n and ends[-1] != len(data)):
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    if len(lengths) != n or (n and int(lengths.sum()) != len(data)):
         raise ValueError("control and data bytes do not belong together")
-    source = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
-    starts = ends - lengths
-    out = np.zeros(n, np.uint32)
-    for k in range(int(lengths.max(initial=0))):
-        byte = source[starts + k].astype(np.uint32) << np.uint32(8 * k)
-        out |= np.where(lengths > k, byte, np.uint32(0)) if k else byte
-    return out
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        np.place(out, np.arange(4, dtype=np.uint8) < lengths[:, None], np.frombuffer(data, np.uint8))
+    return out.reshape(-1).view("<u4")
 
 
 def write_block(names: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> bytes:

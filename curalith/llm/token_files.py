@@ -160,9 +160,9 @@ def read_token_files(spark: SparkSession, files: TokenFiles, with_ids: bool = Fa
                 start = first[number]
                 for names, counts, ranks in idcodec.read_blocks(data.as_py()):
                     ends = np.cumsum(counts)
-                    found = ids_table[ranks].astype("<u4")
+                    found = ids_table[ranks].astype("<u4", copy=False)
                     each = [found[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
-                    columns = [names, start + ends - counts, counts, [zlib.crc32(x.tobytes()) for x in each]]
+                    columns = [names, start + ends - counts, counts, [zlib.crc32(x) for x in each]]
                     yield batch_of(schema, *columns, *([each] if with_ids else []))
                     start += int(counts.sum())
 

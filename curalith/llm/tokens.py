@@ -1,38 +1,61 @@
-"""Ids of a public word-level BPE tokenizer, encoded once per distinct word of a worker."""
+"""Ids of a public word-level BPE tokenizer, encoded once per distinct piece of a worker."""
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from curalith.llm.words import byte_class, split_words, word_bytes
+from curalith.llm.words import Words, byte_class, split_words, word_bytes
 
-#: A worker forgets its words beyond so many, and beyond so many characters each on average, which bounds its memory.
+#: A worker forgets its pieces beyond so many, and beyond so many bytes each on average, which bounds its memory.
 CACHED_WORDS, CACHED_CHARS = 500_000, 16
-#: Bytes of text encoded at one time: larger slices have fewer distinct words.
+#: Bytes of text encoded at one time: larger slices have fewer distinct pieces.
 SLICE_BYTES = 4_000_000
-#: Words encoded in one call.
+#: Pieces encoded in one call.
 CALL_WORDS = 2000
 _IN_WORD = byte_class((0x20, 0x20), (0x09, 0x0D))
-#: Lower-case letters that are their own normal form, and words of these, digits and ASCII signs but the apostrophe.
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+\Z")
-_SIMPLE = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+\Z")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Kinds of bytes. Odd ones keep their word whole: upper case, apostrophes, control characters and all beyond Latin-1.
+_BLANK, _LETTER, _SIGN, _DIGIT, _ODD = range(5)
+_KIND = np.where(_IN_WORD, _ODD, _BLANK).astype(np.uint8)
+_KIND[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x61:0x7B] = _LETTER
+#: ß-ö and ø-ÿ, lower-case letters that are their own normal form, are the byte C3 and one of these.
+_KIND[[0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = _LETTER
+#: What a piece takes at least, by its bytes: the BPE model, that model behind a byte mapping, the whole library.
+_PLAIN, _MAPPED, _WHOLE = range(3)
+_TAKES = np.select([_KIND > _LETTER, np.arange(256) > 0x7F], [_WHOLE, _MAPPED], _PLAIN).astype(np.uint8)
+
+
+def _pieces(words: Words) -> Words:
+    """Words cut where letters, single digits and runs of signs meet; those with an odd byte or ``<|`` stay whole."""
+    kind = np.zeros(len(words.data) + 2, np.uint8)
+    inner = kind[1:-1]
+    np.take(_KIND, words.data, out=inner)
+    opens = np.flatnonzero(words.data[:-1] == ord("<"))
+    inner[opens[words.data[opens + 1] == ord("|")]] = _ODD
+    odd = np.maximum.reduceat(inner, words.starts) == _ODD
+    if odd.any():
+        inner[_ranges(words.starts[odd], (words.ends - words.starts)[odd])] = _ODD
+    edge = kind[1:] != kind[:-1]
+    edge |= kind[1:] == _DIGIT
+    starts, ends = np.flatnonzero(edge & (kind[1:] != _BLANK)), np.flatnonzero(edge & (kind[:-1] != _BLANK))
+    return Words(words.data, starts, ends, np.searchsorted(starts, np.append(words.starts, len(words.data))[words.first]))
 
 
 class WordTokenizer:
-    """Encodes texts through the tokenizers library, word by word with a bounded memory.
+    """Encodes texts through the tokenizers library, piece by piece with a bounded memory.
 
     Holds for tokenizers that drop white space and never join across it: there the ids of a
     text are the ids of its words in order. ``word_bpe_49k`` is one; the tests compare whole
-    texts with the library's own result. Words are told apart in Arrow, so only distinct ones
-    reach Python. Where the tokenizer marks the ends of words and parts letters, digits and
-    signs (both are tried out), words of plain letters go to its BPE model without the steps
-    that leave them as they are.
+    texts with the library's own result. Where the tokenizer marks the ends of words and parts
+    letters, digits and signs (both are tried out), words are cut there, and pieces of plain
+    letters go to its BPE model without the steps that leave them as they are. Elsewhere a
+    piece is a word. Pieces are cut and told apart in arrays, so only distinct ones reach Python.
     """
 
     def __init__(self, path: str, most_words: int | None = None):
@@ -61,46 +84,35 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.chars = 0
+        self.numbers: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes words that are not known; a word of several pieces has the ids of its pieces."""
-        known, composed = self.numbers, []
-        letters = [w for w in new if self.parts and _LETTERS.match(w)]
-        others = list(set(new).difference(letters)) if letters else new
-        if self.parts:
-            simple = [w for w in others if _SIMPLE.match(w) and "<|" not in w]
-            composed = [(w, p) for w, p in zip(simple, map(_PIECE.findall, simple)) if len(p) > 1]
-            pieces = {p for _, own in composed for p in own}.difference(known, letters, others)
-            letters += [p for p in pieces if _LETTERS.match(p)]
-            others = [w for w in {*others, *pieces}.difference(letters, (w for w, _ in composed))]
-        plain = [w for w in letters if w.isascii()]
-        mapped = [w for w in letters if not w.isascii()] if len(plain) < len(letters) else []
-        for coder, words in ((self.plain, plain), (self.letters, mapped)):
-            for k in range(0, len(words), CALL_WORDS):
-                own = words[k : k + CALL_WORDS]
-                ids = np.array(coder.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.uint32)
-                self._add(own, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
-        for k in range(0, len(others), CALL_WORDS):
-            self._add(others[k : k + CALL_WORDS], *self._encode_words(others[k : k + CALL_WORDS]))
-        if composed:
-            flat = np.fromiter((known[p] for _, pieces in composed for p in pieces), np.int64)
-            each = self.lengths[flat]
-            ids = self.ids[_ranges(self.starts[flat], each)]
-            first = np.cumsum([0, *(len(pieces) for _, pieces in composed)])[:-1]
-            self._add([word for word, _ in composed], ids, np.add.reduceat(each, first))
-
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, encoded as one text, and how many each has."""
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+    def _learn(self, new: list[bytes], takes: np.ndarray) -> np.ndarray:
+        """Encodes pieces that are not known; their numbers."""
+        numbers = np.empty(len(new), np.int64)
+        for kind, coder in ((_PLAIN, self.plain), (_MAPPED, self.letters), (_WHOLE, None)):
+            at = np.flatnonzero(takes == kind)
+            numbers[at] = np.arange(len(self.numbers), len(self.numbers) + len(at))
+            for k in range(0, len(at), CALL_WORDS):
+                own = [new[i] for i in at[k : k + CALL_WORDS].tolist()]
+                text = b" ".join(own).decode()
+                if coder:
+                    ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                    self._add(own, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+                else:
+                    self._add(own, *self._encode_words(text))
+        return numbers
+
+    def _encode_words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text of words, and how many each word has."""
+        found = self.library.encode(text, add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in text.split(" "))])
         places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-        return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(words))
+        return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(begins, places, side="right") - 1, minlength=len(begins) - 1)
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.numbers)
         self.numbers.update(zip(words, range(first, first + len(words))))
         while len(self.numbers) > len(self.starts):
@@ -112,26 +124,33 @@ class WordTokenizer:
         self.lengths[first : len(self.numbers)] = lengths
         self.starts[first : len(self.numbers)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
-        self.chars += sum(map(len, words))
+        self.bytes += sum(map(len, words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each text."""
         most = self.most_words or CACHED_WORDS
-        if len(self.numbers) > most or self.chars > most * CACHED_CHARS:
+        if len(self.numbers) > most or self.bytes > most * CACHED_CHARS:
             self.forget()
         # A-Z may be folded beforehand unless the text may hold a special token's name.
         raw = [(t.encode().lower() if self.folds and "<|" not in t else t.encode()) for t in texts]
         words = split_words(raw, _IN_WORD, fold=False)
-        coded = word_bytes(words, _IN_WORD).dictionary_encode()
-        # The distinct words as one text, which is split faster than an array is taken apart.
-        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(b" ", pa.large_binary()))
-        distinct = joined[0].as_py().decode().split(" ") if len(coded.dictionary) else []
-        new = [w for w in distinct if w not in self.numbers]
-        if new:
-            self._learn(new)
         if not len(words.starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        if self.parts:
+            words = _pieces(words)
+        coded = word_bytes(words, _IN_WORD).dictionary_encode()
+        # The distinct pieces as one text, which is split faster than an array is taken apart.
+        values = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(values)], values), pa.scalar(b" ", pa.large_binary()))[0].as_py()
+        distinct = joined.split(b" ")
+        known = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            data = np.frombuffer(joined, np.uint8)
+            begins = np.append(0, np.flatnonzero(data == ord(" ")) + 1)
+            takes = np.maximum.reduceat(_TAKES[data], begins)[new] if self.parts else np.full(len(new), _WHOLE)
+            known[new] = self._learn([distinct[i] for i in new.tolist()], takes)
+        numbers = known[coded.indices.to_numpy()]
         lengths = self.lengths[numbers]
         before = np.concatenate([[0], np.cumsum(lengths)])
         return self.ids[_ranges(self.starts[numbers], lengths)], np.diff(before[words.first])

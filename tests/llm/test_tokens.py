@@ -42,6 +42,24 @@ def test_a_worker_forgets_words_but_not_results(coder, monkeypatch):
         assert coder.encode([text])[0].tolist() == library_ids(coder, text)
 
 
+def test_signs_beside_a_word_make_no_new_pieces(tokenizer_path):
+    coder = WordTokenizer(tokenizer_path)
+    words = [f"{'straße' if k % 2 else 'word'}{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(100)]
+    signs = [a + b for a in "!#$%&()*+,-./:;" for b in "?@[]^_`{}~"]
+    texts = [" ".join(f"{b}{w}{a}{w}7" for w in words) for a, b in zip(signs, reversed(signs))]
+    ids, counts = coder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library_ids(coder, t)]
+    assert len(coder.numbers) == len(words) + len(signs) + 1
+
+
+def test_each_character_beside_letters_digits_and_signs(coder):
+    odd = [chr(k) for k in (*range(0x250), 0x300, 0x301, 0x2028, 0x3000, 0xFB01, 0x1F600)]
+    texts = [t for c in odd for t in (f"ab{c}cd", f"1{c}2", f".{c},", f"é{c}", f"{c}it's{c}", f"<|endoftext|>{c}A")]
+    assert coder.encode(texts)[0].tolist() == [i for t in texts for i in library_ids(coder, t)]
+    for text in texts:
+        assert coder.encode([text])[0].tolist() == library_ids(coder, text)
+
+
 @settings(deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=70))
 def test_codec_round_trip(ranks):
