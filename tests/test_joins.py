@@ -157,6 +157,22 @@ def test_the_rows_of_one_key_are_made_in_many_tasks(spark):
         assert max(p["count"] for p in parts) < 800_000
 
 
+@pytest.mark.parametrize("how", ["inner", "full_outer"])
+def test_provenance_is_made_before_the_rows_of_a_key_multiply(spark, no_broadcast, stored, how):
+    a = stored(spark.range(400).selectExpr("id % 2 AS k", "id AS v"))
+    b = stored(spark.range(400).selectExpr("cast(id % 2 AS int) AS k", "id AS w"))
+    c = stored(spark.createDataFrame([(0.0, "x"), (5.0, "y")], "k double, x string"))
+    df = joins.join_many([("a", a), ("b", b), ("c", c)], "k", how)
+    above, _, below = df._jdf.queryExecution().optimizedPlan().toString().partition("Join")
+    assert "struct(type" not in above and "struct(type" in below
+    j = F.col("__join__")
+    want = [("0.0", None, "a,b,c", 40_000)]
+    if how == "full_outer":
+        want += [("1.0", False, "a,b", 40_000), ("5.0", False, "c", 1)]
+    assert rows(df.groupBy(j["key_value"], j["matched"], F.array_join(j["sources"], ",")).count()) == want
+    assert df.columns == ["a_k", "a_v", "b_k", "b_w", "c_k", "c_x", "__join__"]
+
+
 def test_nearest_of_each(spark):
     at = "timestamp_seconds"
     a = spark.createDataFrame([(1, 100, 0), (1, 200, 1), (2, 100, 2), (None, 100, 3)], "k int, t int, i int")
