@@ -237,3 +237,44 @@ def test_a_text_of_unmet_characters_scores_worse(spark):
     known, unmet = "".join(own[100:160]), "".join(chr(0x4E00 + 1000 + i) for i in range(100, 160))
     assert (model.letters[[ord(c) for c in known]] == quality.LETTER).all() and (model.letters[[ord(c) for c in unmet]] == quality.LETTER).all()
     assert model.log_perplexity([unmet])[0] > model.log_perplexity([known])[0] + 1
+
+
+def test_every_character_of_the_trusted_text_is_a_symbol_of_its_own(spark, monkeypatch):
+    """More characters than the alphabet has: against the formulas, in the model and over a table."""
+    r = random.Random(3)
+    own = [chr(0x4E00 + i) for i in range(120)] + [*"ab c", "😀"]
+    texts = ["".join(own[min(len(own) - 1, k % 90 + r.randrange(4) * 11)] for k in range(n, n + 60)) for n in range(40)]
+    texts[0] += "😀ab😀 cab"
+    model = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    symbols, met = model.dense.symbols, {ord(c) for t in texts for c in t}
+    assert len(met) > quality.SYMBOLS and len(set(symbols[list(met)])) == len(met) and model.dense.size == symbols.max() + 1
+    with monkeypatch.context() as m:
+        m.setattr(quality, "SYMBOLS", model.dense.size)
+        p = plain_probabilities(texts, symbols)
+    asked = [texts[3], texts[7][::-1], "cab😀 ", own[80] + own[3] + own[95] + own[2] * 4, "ab", ""]
+    for text, got in zip(asked, model.log_perplexity(asked)):
+        s = [0] * (quality.ORDER - 1) + [int(symbols[ord(c)]) for c in text]
+        want = -sum(math.log(p(tuple(s[i : i + quality.ORDER]))) for i in range(len(text))) / len(text) if text else math.nan
+        assert got == pytest.approx(want, rel=2e-3, nan_ok=True)
+    docs = spark.createDataFrame([*enumerate([*asked, asked[0], None])], "doc_id long, text string").repartition(3)
+    rows = {x["doc_id"]: x["_score"] for x in quality.scored(docs, model, quality.Toxicity({}, 0.0)).collect()}
+    assert [rows[i] for i in range(5)] == pytest.approx(model.log_perplexity(asked)[:5].tolist(), rel=1e-6)
+    assert rows[5] is None and rows[6] == rows[0] and rows[7] is None
+
+
+def test_kinds_of_characters_are_known_in_all_planes():
+    table = quality.alphabet({})
+    assert [table[ord(c)] for c in "é😀𝟘𠀀𐍈٣!"] == [quality.LETTER, quality.OTHER, quality.DIGIT, quality.LETTER, quality.LETTER, quality.DIGIT, quality.OTHER]
+
+
+def test_equal_texts_of_other_languages_are_judged_by_their_own(spark):
+    """`good` finds rejected texts by language and content, and keeps rows without either."""
+    r = random.Random(1)
+    words = lambda ws: " ".join(r.choice(ws) for _ in range(60))
+    rows = [(i, words(["the", "cat", "sat", "here"]), "en") for i in range(80)] + [(100 + i, words(["ÀÉ", "ñÕ", "ŵý", "ȘȚ"]), None) for i in range(80)]
+    rows += [(200, "zq xj ÿ# kv " * 9, "en"), (201, rows[90][1], "en"), (202, None, None), (203, "", "en"), (204, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows[:160]], "doc_id long, quality int, toxic int")
+    kept = {x["doc_id"] for x in quality.judged(docs, labels).where("kept").collect()}
+    assert {x["doc_id"] for x in quality.good(docs, labels).collect()} == kept
+    assert 200 not in kept and {202, 203, 204} <= kept
